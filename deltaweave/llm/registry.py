@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, quality_rules, secret_scan
+from . import chat_format, decontaminate, quality_rules, secret_scan
 from .shared import materialize, table
 
 
@@ -51,8 +51,15 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "leaks.*", (F.col("leaks.n_hit") > 0).alias("contaminated"))
+
+
 def queries() -> dict:
     return {
+        "op10_decontaminate": op10_decontaminate,
         "op1_chat_format": op1_chat_format,
         "op8_secret_scan": op8_secret_scan,
         "op6_quality_rules": op6_quality_rules,

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,7 +50,7 @@ def text_or_empty(name: str):
 
 def row_blocks(column: pa.Array, limit: int):
     """Consecutive row ranges of about ``limit`` bytes of text; a longer text is a range of its own."""
-    lengths = pa.compute.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    lengths = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
     lo = size = 0
     for i, n in enumerate(lengths):
         if i > lo and size + n > limit:
