@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, quality_rules, secret_scan
+from . import chat_format, decontaminate, packing, quality_rules, secret_scan
 from .shared import materialize, table
 
 
@@ -29,6 +29,13 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     verdict, which = quality_rules.apply_rules(quality_rules.learn(docs, labels))
@@ -61,6 +68,7 @@ def queries() -> dict:
     return {
         "op10_decontaminate": op10_decontaminate,
         "op1_chat_format": op1_chat_format,
+        "op5_packing": op5_packing,
         "op8_secret_scan": op8_secret_scan,
         "op6_quality_rules": op6_quality_rules,
     }
