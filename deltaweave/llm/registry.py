@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, packing, quality_rules, secret_scan
+from . import chat_format, decontaminate, near_dedup, packing, quality_rules, secret_scan
 from .shared import materialize, table
 
 
@@ -29,6 +29,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -68,6 +72,7 @@ def queries() -> dict:
     return {
         "op10_decontaminate": op10_decontaminate,
         "op1_chat_format": op1_chat_format,
+        "op2_near_dedup": op2_near_dedup,
         "op5_packing": op5_packing,
         "op8_secret_scan": op8_secret_scan,
         "op6_quality_rules": op6_quality_rules,
