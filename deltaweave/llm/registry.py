@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, near_dedup, packing, quality_rules, secret_scan
+from . import chat_format, decontaminate, near_dedup, packing, quality_rules, secret_scan, substring_dedup
 from .shared import materialize, table
 
 
@@ -50,6 +50,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return substring_dedup.remove_repeats(docs, texts=False).drop("kept_text")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ledger = materialize(secret_scan.scan(docs))
@@ -74,6 +79,7 @@ def queries() -> dict:
         "op1_chat_format": op1_chat_format,
         "op2_near_dedup": op2_near_dedup,
         "op5_packing": op5_packing,
+        "op7_substring_dedup": op7_substring_dedup,
         "op8_secret_scan": op8_secret_scan,
         "op6_quality_rules": op6_quality_rules,
     }
