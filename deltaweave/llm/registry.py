@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, near_dedup, packing, quality_rules, secret_scan, substring_dedup
+from . import chat_format, decontaminate, language_id, near_dedup, packing, quality_rules, secret_scan, substring_dedup
 from .shared import materialize, table
 
 
@@ -33,6 +33,14 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = language_id.learn(docs.where(~held_out))
+    found = language_id.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "language.*")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -78,6 +86,7 @@ def queries() -> dict:
         "op10_decontaminate": op10_decontaminate,
         "op1_chat_format": op1_chat_format,
         "op2_near_dedup": op2_near_dedup,
+        "op3_language_id": op3_language_id,
         "op5_packing": op5_packing,
         "op7_substring_dedup": op7_substring_dedup,
         "op8_secret_scan": op8_secret_scan,
