@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, language_id, near_dedup, packing, quality_rules, secret_scan, substring_dedup
+from . import chat_format, decontaminate, html_extract, language_id, near_dedup, packing, quality_rules, secret_scan, substring_dedup
 from .shared import materialize, table
 
 
@@ -41,6 +41,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "language.*")
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = html_extract.extract(pages, html_extract.learn(pages))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -87,6 +93,7 @@ def queries() -> dict:
         "op1_chat_format": op1_chat_format,
         "op2_near_dedup": op2_near_dedup,
         "op3_language_id": op3_language_id,
+        "op4_html_extract": op4_html_extract,
         "op5_packing": op5_packing,
         "op7_substring_dedup": op7_substring_dedup,
         "op8_secret_scan": op8_secret_scan,
