@@ -41,7 +41,9 @@ from .shared import row_blocks
 
 LEAST = 50
 GRAM = 20
-_BLOCK = 4 << 20
+_BLOCK = 2 << 20
+#: Bytes of spans whose suffixes are ordered at once; one owner's spans stay together.
+_SORTED = 1 << 20
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -292,9 +294,21 @@ def later_windows(spans: list[bytes], owners: np.ndarray, least_key: np.ndarray)
     mask = np.zeros(len(spans), np.uint32)
     order, starts, group = _groups(owners)
     shared = (np.diff(np.append(starts, len(order))) > 1)[group]
-    own = np.sort(order[shared])
-    if not len(own):
-        return mask
+    order, group = order[shared], group[shared]
+    size = 0
+    batch: list[int] = []
+    for k, i in enumerate(order.tolist()):
+        if size >= _SORTED and group[k] != group[k - 1]:
+            _mark_batch(spans, np.array(batch), least_key, mask)
+            batch, size = [], 0
+        batch.append(i)
+        size += len(spans[i])
+    if batch:
+        _mark_batch(spans, np.array(batch), least_key, mask)
+    return mask
+
+
+def _mark_batch(spans: list[bytes], own: np.ndarray, least_key: np.ndarray, mask: np.ndarray) -> None:
     text = b"".join([x for i in own.tolist() for x in (spans[i], b"\n")])
     sizes = np.array([len(spans[i]) for i in own], np.int64)
     begin = np.cumsum(sizes + 1) - sizes - 1
@@ -311,7 +325,6 @@ def later_windows(spans: list[bytes], owners: np.ndarray, least_key: np.ndarray)
     smallest[order] = np.minimum.reduceat(key[order], starts)[group]
     late = smallest < key
     np.bitwise_or.at(mask, own[which[late]], (np.uint32(1) << shift[late].astype(np.uint32)))
-    return mask
 
 
 def mark_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -408,8 +421,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", tex
     owners = rows.where("key is not null").select("rid", "text").mapInArrow(emit_owners(buckets), _OWNERS)
     again = owners.repartition(buckets, "bucket").mapInArrow(repeated_owners, "rid long, ords array<int>")
     again = again.groupBy("rid").agg(F.flatten(F.collect_list("ords")).alias("ords"))
-    spans = dealt.join(again, "rid").select("rid", "key", "text", "ords").mapInArrow(emit_spans(buckets), _SPANS)
-    marks = spans.repartition(buckets, "bucket").mapInArrow(mark_windows, "rid long, marks array<long>")
+    spans = dealt.join(again, "rid").select("rid", "key", "text", "ords").mapInArrow(emit_spans(parts), _SPANS)
+    marks = spans.repartition(parts, "bucket").mapInArrow(mark_windows, "rid long, marks array<long>")
     marks = marks.groupBy("rid").agg(F.flatten(F.collect_list("marks")).alias("marks"))
     found = dealt.join(marks, "rid", "left").select("key", "text", "marks")
     return found.mapInArrow(_cut(texts), _RESULT.format(kind)).withColumnRenamed("key", key)
