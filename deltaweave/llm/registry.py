@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extract, language_id, near_dedup, packing, quality_rules, secret_scan, substring_dedup
+from . import chat_format, decontaminate, html_extract, language_id, near_dedup, packing, quality_rules, secret_scan, substring_dedup, toxicity
 from .shared import materialize, table
 
 
@@ -87,8 +87,16 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leaks.*", (F.col("leaks.n_hit") > 0).alias("contaminated"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    chain = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    found = toxicity.score(docs.select("doc_id", "text"), chain)
+    return found.select("doc_id", "toxicity.*", (F.col(f"toxicity.{toxicity.TARGET}") >= 0.5).alias("is_toxic"))
+
+
 def queries() -> dict:
     return {
+        "op9_toxicity": op9_toxicity,
         "op10_decontaminate": op10_decontaminate,
         "op1_chat_format": op1_chat_format,
         "op2_near_dedup": op2_near_dedup,
