@@ -12,8 +12,10 @@ coordinate that none has hit makes the text look further.
 Equal sets are one class at once. The others meet in buckets of banded
 coordinates, never as all pairs of a bucket: each bucket names its smallest
 member and links the rest to it, then the members that this did not join choose
-among themselves, and what is still apart in a bucket is compared with the
-bucket's other components only. Every link is verified on the whole texts, and
+among themselves. What is still apart in a small bucket is compared with the
+bucket's other components; what is apart in a bucket of more than ``SMALL`` goes,
+in blocks of queries, through an index of shingles past all candidates, which
+makes no row but for a link. Every link is verified on the whole texts, and
 components are found by passing smallest labels, in tables on the shared folder.
 
 Defined results: a text without words (null and empty ones too) has no partner;
@@ -36,7 +38,10 @@ from .shared import discard, materialize, row_blocks
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 6
+SMALL = 24
 _BLOCK = 2 << 20
+_QUERIES = 4 << 20  # bytes of query texts in a block
+_MATCHES = 4 << 20  # shingle matches that are counted at once
 
 
 def shingles(column: pa.Array, size: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -176,6 +181,75 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, wei
     return both.mapInArrow(run, pairs.select("a", "b").schema)
 
 
+class QueryIndex:
+    """The shingles of a block of query texts, to count those that other texts share with them."""
+
+    def __init__(self, ids: list, labels: list, texts: list[str], weighted: bool):
+        owner, key, count = shingles(pa.array(texts, pa.string()))
+        self.ids, self.labels, self.weighted = np.array(ids), np.array(labels), weighted
+        count = count if weighted else np.ones(len(count), np.int64)
+        order = np.argsort(key, kind="stable")
+        self.keys, first = np.unique(key[order], return_index=True)
+        self.at = np.append(first, len(order))
+        self.owner, self.count = owner[order], count[order]
+        self.total = np.bincount(owner, count, len(ids))
+
+    def links(self, ids: np.ndarray, labels: np.ndarray, column: pa.Array, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """(query ids, ids): similar texts of another label, one for each query and label."""
+        doc, key, count = shingles(column)
+        n = len(self.ids)
+        if not len(doc) or not len(self.keys):
+            return self.ids[:0], ids[:0]
+        count = count if self.weighted else np.ones(len(count), np.int64)
+        total = np.bincount(doc, count, len(ids))
+        slot = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        hit = self.keys[slot] == key
+        doc, slot, count = doc[hit], slot[hit], count[hit]
+        sizes = self.at[slot + 1] - self.at[slot]
+        # Pieces of whole texts, of about _MATCHES matches.
+        piece = np.cumsum(np.bincount(doc, sizes, len(ids))).astype(np.int64) // _MATCHES
+        found = []
+        for k in np.unique(piece):
+            own = piece[doc] == k
+            d, c, z = doc[own], count[own], sizes[own]
+            back = np.repeat(np.arange(len(d)), z)
+            at = self.at[slot[own]][back] + np.arange(len(back)) - np.repeat(np.cumsum(z) - z, z)
+            pair, where = np.unique(d[back] * n + self.owner[at], return_inverse=True)
+            shared = np.bincount(where, np.minimum(c[back], self.count[at]))
+            i, q = pair // n, pair % n
+            good = (shared >= threshold * (total[i] + self.total[q] - shared)) & (labels[i] != self.labels[q])
+            found.append(np.stack([q[good], i[good]]))
+        q, i = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
+        _, one = np.unique(np.stack([q, labels[i]]), axis=1, return_index=True)
+        return self.ids[q[one]], ids[i[one]]
+
+
+def search(queries: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, weighted: bool = False) -> DataFrame:
+    """(a, b): for each query (id, label, text) similar ``texts`` of each other label; queries come in blocks."""
+    spark = queries.sparkSession
+    blocks = max(1, -(-int(queries.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // _QUERIES))
+    kind = texts.schema["id"].dataType.simpleString()
+    made = []
+    for k in range(blocks):
+        got = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).orderBy("id").collect()
+        held = spark.sparkContext.broadcast(([r["id"] for r in got], [r["label"] for r in got], [r["text"] for r in got]))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            index = QueryIndex(*held.value, weighted)
+            for batch in batches:
+                for lo, hi in row_blocks(batch.column(2), _BLOCK):
+                    part = batch.slice(lo, hi - lo)
+                    a, b = index.links(part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False), part.column(2), threshold)
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        if got:
+            made.append(texts.select("id", "label", "text").mapInArrow(run, f"a {kind}, b {kind}"))
+    out = spark.createDataFrame([], f"a {kind}, b {kind}")
+    for df in made:
+        out = out.union(df)
+    return out
+
+
 def components(edges: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """(id, label): the smallest id that each end of ``edges`` (a, b) is connected with.
 
@@ -222,27 +296,34 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
     # Rows with equal ids and different texts: each set is found by id, so keep one text of an id.
     texts = materialize(whole.join(wanted, "id").groupBy("id").agg(F.max("text").alias("text")))
     labels, tested = None, None
-    for last in (False, False, True):
+    for turn in range(3):
         apart = _labelled(members, labels)
-        heads = apart.groupBy("bucket").agg(F.min("label").alias("head"), F.max("label").alias("tail")).where("head < tail")
-        if last:
-            # What two rounds left apart: members outside the leading class, against all others of the bucket.
-            mixed = apart.join(heads.select("bucket", "head"), "bucket")
-            outside = mixed.where("label <> head").select("bucket", F.col("id").alias("a"), F.col("label").alias("la"))
-            other = mixed.select("bucket", F.col("id").alias("b"), F.col("label").alias("lb"), "head")
-            pairs = outside.join(other, "bucket").where("la <> lb and (lb = head or a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        elif labels is None:
+        heads = apart.groupBy("bucket").agg(F.min("label").alias("head"), F.max("label").alias("tail"), F.count("*").alias("size")).where("head < tail")
+        far = None
+        if turn == 0:
             pairs = apart.join(heads, "bucket").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
         else:
-            rest = apart.join(heads.select("bucket", "head"), "bucket").where("label <> head")
-            lead = rest.groupBy("bucket").agg(F.min("id").alias("a"))
-            pairs = rest.join(lead, "bucket").where("id <> a").select("a", F.col("id").alias("b"))
+            mixed = materialize(apart.join(heads.select("bucket", "head", "size"), "bucket"))
+            rest = mixed.where("label <> head")
+            if turn == 1:
+                lead = rest.groupBy("bucket").agg(F.min("id").alias("a"))
+                pairs = rest.join(lead, "bucket").where("id <> a").select("a", F.col("id").alias("b"))
+            else:
+                # Outside the leading class after two rounds: against all others of the bucket, or of all buckets.
+                crowded = materialize(rest.groupBy("id", "label").agg(F.max("size").alias("most")))
+                far = crowded.where(F.col("most") > SMALL).select("id", "label")
+                near = rest.join(crowded.where(F.col("most") <= SMALL).select("id"), "id").select("bucket", F.col("id").alias("a"), F.col("label").alias("la"))
+                other = mixed.where(F.col("size") <= SMALL).select("bucket", F.col("id").alias("b"), F.col("label").alias("lb"))
+                pairs = near.join(other, "bucket").where("la <> lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs)
-        edges = materialize(verify(pairs, texts, threshold, weighted))
-        labels = components(edges, labels)
+        edges = verify(pairs, texts, threshold, weighted)
+        if far is not None:
+            placed = texts.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"), "text")
+            edges = edges.union(search(far.join(texts, "id"), placed, threshold, weighted))
+        labels = components(materialize(edges), labels)
         tested = pairs if tested is None else materialize(tested.union(pairs))
     first = sketches.join(copies, "address", "left").select("id", F.coalesce("first", "id").alias("own"))
     return first.join(labels.select(F.col("id").alias("own"), "label"), "own", "left").select(F.col("id").alias(key), F.coalesce("label", "own").alias("class_id"))
