@@ -55,7 +55,7 @@ def shingles(column: pa.Array, size: int = WORDS) -> tuple[np.ndarray, np.ndarra
     total = np.zeros(n, np.uint64)
     for k in range(size):
         shifted = np.zeros(n, np.uint64)
-        shifted[: n - k] = h[k:]
+        shifted[: max(0, n - k)] = h[k:]
         inside = (left > k).astype(np.uint64)
         total += textual.mix(shifted * np.uint64(2 * k + 1)) * np.uint64(2 * k + 3) * inside
     begins = (left >= size) | ((counts[owner] < size) & (np.arange(n) == words.first[owner]))
