@@ -122,6 +122,38 @@ def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
 
 
+_HOME = "home int, rids binary, counts binary, found binary"
+
+
+def _homeward(rid: np.ndarray, found: np.ndarray, homes: int) -> pa.RecordBatch:
+    """What was found for rows, packed by the task that gathers a row's findings."""
+    order = np.lexsort((rid, rid % homes))
+    rid, found = rid[order], found[order]
+    rows = []
+    for home, own in _by_bucket(rid % homes):
+        rids, counts = _per_text(rid[own])
+        rows.append((home, rids.tobytes(), _narrow(counts), found[own].astype(np.int64).tobytes()))
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], ["home", "rids", "counts", "found"])
+
+
+def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rid, found): one row for each rid; a task has all findings of its rids."""
+    rids, found = [], []
+    for batch in batches:
+        for rid, counts, values in zip(*[batch.column(k).to_pylist() for k in (1, 2, 3)], strict=True):
+            rids.append(np.repeat(np.frombuffer(rid, np.int64), _wide(counts)))
+            found.append(np.frombuffer(values, np.int64))
+    if rids:
+        rid, value = np.concatenate(rids), np.concatenate(found)
+        order, starts, _ = _groups(rid)
+        for lo in range(0, len(starts), 10_000):
+            part = starts[lo : lo + 10_000]
+            end = starts[lo + 10_000] if lo + 10_000 < len(starts) else len(order)
+            own = order[part[0] : end]
+            yield pa.RecordBatch.from_arrays([pa.array(rid[order[part]]), _lists(value[own], part - part[0])], ["rid", "found"])
+
+
 _OWNERS = "bucket int, rids binary, counts binary, ords binary, hashes binary"
 
 
@@ -163,29 +195,27 @@ def emit_owners(buckets: int):
     return run
 
 
-def repeated_owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 2, reduce side: (rid, ords) of the owners that texts of two rows have."""
-    held: dict[int, list[tuple]] = {}
+def repeated_owners(homes: int):
+    """Step 2, reduce side: the owners that texts of two rows have."""
 
-    def out(rid: np.ndarray, ordinal: np.ndarray) -> pa.RecordBatch:
-        order, starts, _ = _groups(rid)
-        return pa.RecordBatch.from_arrays([pa.array(rid[order][starts]), _lists(ordinal[order].astype(np.int32), starts)], ["rid", "ords"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple]] = {}
+        for batch in batches:
+            for bucket, rids, counts, ords, hashes in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                rid = np.repeat(np.frombuffer(rids, np.int64), _wide(counts))
+                if hashes is None:
+                    yield _homeward(rid, _wide(ords), homes)
+                else:
+                    held.setdefault(bucket, []).append((rid, _wide(ords).astype(np.int32), np.frombuffer(hashes, "<u4")))
+        for parts in held.values():
+            rid, ordinal, key = (np.concatenate([p[i] for p in parts]) for i in range(3))
+            parts.clear()
+            order, starts, group = _groups(key)
+            mine = rid[order]
+            twice = (np.minimum.reduceat(mine, starts) != np.maximum.reduceat(mine, starts))[group]
+            yield _homeward(mine[twice], ordinal[order][twice], homes)
 
-    for batch in batches:
-        for bucket, rids, counts, ords, hashes in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            rid = np.repeat(np.frombuffer(rids, np.int64), _wide(counts))
-            if hashes is None:
-                yield out(rid, _wide(ords))
-            else:
-                held.setdefault(bucket, []).append((rid, _wide(ords).astype(np.int32), np.frombuffer(hashes, "<u4")))
-    for parts in held.values():
-        rid, ordinal, key = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        parts.clear()
-        order, starts, group = _groups(key)
-        mine = rid[order]
-        twice = (np.minimum.reduceat(mine, starts) != np.maximum.reduceat(mine, starts))[group]
-        if twice.any():
-            yield out(mine[twice], ordinal[order][twice])
+    return run
 
 
 _SPANS = "bucket int, rids binary, keys binary, counts binary, starts binary, extra binary, owners binary, bytes binary"
@@ -327,41 +357,42 @@ def _mark_batch(spans: list[bytes], own: np.ndarray, least_key: np.ndarray, mask
     np.bitwise_or.at(mask, own[which[late]], (np.uint32(1) << shift[late].astype(np.uint32)))
 
 
-def mark_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 3, reduce side: (rid, marks): the windows that go, each mark a place and a bit mask."""
-    held: dict[int, list[tuple]] = {}
+def mark_windows(homes: int):
+    """Step 3, reduce side: the windows that go, each mark a place and a bit mask."""
     unpress = zstandard.ZstdDecompressor()
     every = lambda more: ((np.uint64(1) << (more + 1).astype(np.uint64)) - np.uint64(1)).astype(np.int64)
 
     def out(rid, start, mask) -> pa.RecordBatch:
         some = mask != 0
-        rid, mark = rid[some], (start[some] << 32) | mask[some]
-        order, starts, _ = _groups(rid)
-        return pa.RecordBatch.from_arrays([pa.array(rid[order][starts]), _lists(mark[order], starts)], ["rid", "marks"])
+        return _homeward(rid[some], (start[some] << 32) | mask[some], homes)
 
-    for batch in batches:
-        for bucket, rids, keys, counts, starts, extra, owners, raw in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            n = _wide(counts)
-            rid, key = np.repeat(np.frombuffer(rids, np.int64), n), np.repeat(np.frombuffer(keys, np.int64), n)
-            start, more = _wide(starts), _wide(extra)
-            if raw is None:
-                yield out(rid, start, every(more))
-            else:
-                held.setdefault(bucket, []).append((rid, key, start, more, np.frombuffer(owners, "<u4"), raw))
-    for parts in held.values():
-        rid, key, start, more, owner = (np.concatenate([p[i] for p in parts]) for i in range(5))
-        body = np.frombuffer(b"".join([unpress.decompress(p[5]) for p in parts]), np.uint8)
-        parts.clear()
-        ends = np.cumsum(more + LEAST)
-        begin = ends - more - LEAST
-        order, firsts, group = _groups(textual.span_hashes(body, begin, ends))
-        least = np.minimum.reduceat(key[order], firsts)
-        one = order[firsts]
-        spans = [body[a:b].tobytes() for a, b in zip(begin[one].tolist(), ends[one].tolist(), strict=True)]
-        late = later_windows(spans, owner[one], least)
-        mask = np.empty(len(rid), np.int64)
-        mask[order] = np.where(key[order] > least[group], every(more)[order], late[group].astype(np.int64))
-        yield out(rid, start, mask)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple]] = {}
+        for batch in batches:
+            for bucket, rids, keys, counts, starts, extra, owners, raw in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                n = _wide(counts)
+                rid, key = np.repeat(np.frombuffer(rids, np.int64), n), np.repeat(np.frombuffer(keys, np.int64), n)
+                start, more = _wide(starts), _wide(extra)
+                if raw is None:
+                    yield out(rid, start, every(more))
+                else:
+                    held.setdefault(bucket, []).append((rid, key, start, more, np.frombuffer(owners, "<u4"), raw))
+        for parts in held.values():
+            rid, key, start, more, owner = (np.concatenate([p[i] for p in parts]) for i in range(5))
+            body = np.frombuffer(b"".join([unpress.decompress(p[5]) for p in parts]), np.uint8)
+            parts.clear()
+            ends = np.cumsum(more + LEAST)
+            begin = ends - more - LEAST
+            order, firsts, group = _groups(textual.span_hashes(body, begin, ends))
+            least = np.minimum.reduceat(key[order], firsts)
+            one = order[firsts]
+            spans = [body[a:b].tobytes() for a, b in zip(begin[one].tolist(), ends[one].tolist(), strict=True)]
+            late = later_windows(spans, owner[one], least)
+            mask = np.empty(len(rid), np.int64)
+            mask[order] = np.where(key[order] > least[group], every(more)[order], late[group].astype(np.int64))
+            yield out(rid, start, mask)
+
+    return run
 
 
 _RESULT = "key {}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
@@ -419,10 +450,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", tex
     rows = rows.select(F.xxhash64("key", "text").alias("rid"), "key", "text")
     dealt = rows.repartition(parts, "rid")
     owners = rows.where("key is not null").select("rid", "text").mapInArrow(emit_owners(buckets), _OWNERS)
-    again = owners.repartition(buckets, "bucket").mapInArrow(repeated_owners, "rid long, ords array<int>")
-    again = again.groupBy("rid").agg(F.flatten(F.collect_list("ords")).alias("ords"))
+    again = owners.repartition(buckets, "bucket").mapInArrow(repeated_owners(parts), _HOME)
+    again = again.repartition(parts, "home").mapInArrow(gather, "rid long, found array<long>").withColumnRenamed("found", "ords")
     spans = dealt.join(again, "rid").select("rid", "key", "text", "ords").mapInArrow(emit_spans(parts), _SPANS)
-    marks = spans.repartition(parts, "bucket").mapInArrow(mark_windows, "rid long, marks array<long>")
-    marks = marks.groupBy("rid").agg(F.flatten(F.collect_list("marks")).alias("marks"))
+    marks = spans.repartition(parts, "bucket").mapInArrow(mark_windows(parts), _HOME)
+    marks = marks.repartition(parts, "home").mapInArrow(gather, "rid long, found array<long>").withColumnRenamed("found", "marks")
     found = dealt.join(marks, "rid", "left").select("key", "text", "marks")
     return found.mapInArrow(_cut(texts), _RESULT.format(kind)).withColumnRenamed("key", key)
