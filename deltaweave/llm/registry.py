@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extract, language_id, near_dedup, packing, quality_rules, secret_scan, substring_dedup, toxicity
+from . import chat_format, decontaminate, html_extract, language_id, near_dedup, oracles, packing, quality_rules, secret_scan, substring_dedup, toxicity
 from .shared import materialize, table
 
 
@@ -110,4 +110,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Of the queries that SQL can express; the others are tested against brute force."""
+    return {"op1_chat_format": oracles.CHAT, "op8_secret_scan": oracles.SECRETS, "op10_decontaminate": oracles.LEAKS}
