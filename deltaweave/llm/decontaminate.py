@@ -25,7 +25,7 @@ of the documents are carried as they are, and the findings are one struct column
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -122,7 +122,7 @@ def spread(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts[owner] + inner, owner
 
 
-def search_shard(column: pa.Array, blocks: list[TestBlock]) -> dict[str, np.ndarray | list]:
+def search_shard(column: pa.Array, blocks: Iterable[TestBlock]) -> dict[str, np.ndarray | list]:
     words = textual.words_of(column, textual.NOT_ALNUM, lower=True)
     hashes, counts = words.hashes(), words.counts
     n, rows = len(hashes), len(counts)
@@ -195,10 +195,26 @@ def read_blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) ->
         yield [r.item for r in got], [r.text for r in got]
 
 
+def forget(block) -> None:
+    """Drop a broadcast's value from this process; it is read from its local file again when asked for."""
+    vars(block).pop("_value", None)
+
+
+def one_by_one(blocks: list) -> Iterator[TestBlock]:
+    """The values of broadcasts, of which a task holds one at a time; a single one is kept for the next shard."""
+    for block in blocks:
+        yield block.value
+        if len(blocks) > 1:
+            forget(block)
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", width: int = WIDTH, into: str = "leaks", block_bytes: int = 8 << 20) -> DataFrame:
     """Add the struct ``into``: n_words, n_hit, n_items, items_sha256 and longest_words."""
     sc = docs.sparkSession.sparkContext
-    blocks = [sc.broadcast(TestBlock(ids, texts, width)) for ids, texts in read_blocks(benchmark, item, text, block_bytes)]
+    blocks = []
+    for ids, texts in read_blocks(benchmark, item, text, block_bytes):
+        blocks.append(sc.broadcast(TestBlock(ids, texts, width)))
+        forget(blocks[-1])
     schema = T.StructType([*docs.schema.fields, T.StructField(into, FINDINGS)])
     place = docs.columns.index(text)
 
@@ -206,7 +222,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
         for batch in batches:
             column = batch.column(place)
             for lo, hi in row_blocks(column, _SHARD):
-                found = search_shard(column.slice(lo, hi - lo), [b.value for b in blocks])
+                found = search_shard(column.slice(lo, hi - lo), one_by_one(blocks))
                 struct = pa.StructArray.from_arrays([pa.array(found[f.name]) for f in FINDINGS.fields], [f.name for f in FINDINGS.fields])
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, struct], [*batch.schema.names, into])
 
