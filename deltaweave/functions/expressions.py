@@ -60,6 +60,11 @@ def nullable(df: DataFrame, name: str) -> bool:
     return df.schema[name].nullable
 
 
-def all_equal(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
-    """The condition that the named columns of two frames without common names agree."""
-    return reduce(lambda a, b: a & b, [equal(F.col(f"`{x}`"), F.col(f"`{y}`"), nullable(left, x) and nullable(right, y)) for x, y in pairs], F.lit(True))
+def all_equal(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]], nulls: bool = True) -> Column:
+    """The condition that the named columns of two frames without common names agree.
+
+    ``nulls`` False says that one of the sides is known to have none, as its
+    schema may not: then the plain operator gives the same pairs.
+    """
+    each = [equal(F.col(f"`{x}`"), F.col(f"`{y}`"), nulls and nullable(left, x) and nullable(right, y)) for x, y in pairs]
+    return reduce(lambda a, b: a & b, each, F.lit(True))

@@ -33,6 +33,7 @@ _MANY = 48
 class _Batch:
     paths: list[str]
     rows: int
+    nulls: bool
 
 
 class Variable:
@@ -51,6 +52,9 @@ class Variable:
         paths = [p for b in batches for p in b.paths]
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else None
 
+    def _nulls(self) -> bool:
+        return bool(self._recent and self._recent.nulls) or any(b.nulls for b in self._stable)
+
     @property
     def recent(self) -> DataFrame | None:
         """Rows new in this round; None if there are none."""
@@ -100,13 +104,14 @@ class Variable:
         """Pairs of rows with equal keys, at least one of them new; a relation's rows are all old."""
         if not isinstance(right, Variable):
             if left.recent is not None:
-                self.insert(joins.inner(left.recent, getattr(right, "df", right), on, logic, where))
+                self.insert(joins.inner(left.recent, getattr(right, "df", right), on, logic, where, left._recent.nulls))
             return
+        nulls = left._nulls() and right._nulls()
         all_right = right._read([*right._stable, *([right._recent] if right._recent else [])])
         if left.recent is not None and all_right is not None:
-            self.insert(joins.inner(left.recent, all_right, on, logic, where))
+            self.insert(joins.inner(left.recent, all_right, on, logic, where, nulls))
         if left.stable is not None and right.recent is not None:
-            self.insert(joins.inner(left.stable, right.recent, on, logic, where))
+            self.insert(joins.inner(left.stable, right.recent, on, logic, where, nulls))
 
     def from_join_filtered(self, left: Variable, right, on: joins.Keys, where, logic) -> None:
         """``from_join`` of the pairs for which ``where(l, r)`` holds."""
@@ -114,14 +119,14 @@ class Variable:
 
     def from_semijoin(self, left: Variable, keys: Relation | DataFrame, on: joins.Keys, logic=None) -> None:
         if left.recent is not None:
-            self.insert(joins.semi(left.recent, getattr(keys, "df", keys), on, logic))
+            self.insert(joins.semi(left.recent, getattr(keys, "df", keys), on, logic, left._recent.nulls))
 
     def from_antijoin(self, left: Variable, keys: Relation | DataFrame, on: joins.Keys, logic=None) -> None:
         """New rows whose key isn't in a relation. A variable can't be negated: complete it first."""
         if isinstance(keys, Variable):
             raise TypeError("only a relation can be negated; complete the variable in a stratum of its own")
         if left.recent is not None:
-            self.insert(joins.anti(left.recent, getattr(keys, "df", keys), on, logic))
+            self.insert(joins.anti(left.recent, getattr(keys, "df", keys), on, logic, left._recent.nulls))
 
     def from_leapjoin(self, source: Variable, leapers, logic=None) -> None:
         if source.recent is not None:
@@ -144,20 +149,21 @@ class Variable:
             batch = self._recent
             while self._stable and self._stable[-1].rows <= 2 * batch.rows:
                 last = self._stable.pop()
-                batch = _Batch(last.paths + batch.paths, last.rows + batch.rows)
+                batch = _Batch(last.paths + batch.paths, last.rows + batch.rows, last.nulls or batch.nulls)
                 if not self.distinct or len(batch.paths) > _MANY:
                     df = self._read([batch])
-                    path, rows = write_counted(df if self.distinct else df.distinct())
-                    batch = _Batch([path], rows)
+                    path, rows, nulls = write_counted(df if self.distinct else df.distinct())
+                    batch = _Batch([path], rows, nulls)
             self._stable.append(batch)
             self._recent = None
         if self._to_add:
             new = reduce(DataFrame.union, self._to_add).distinct()
             self._to_add = []
             if self.distinct and self._stable:
-                new = joins.minus(new, self.stable)
-            path, rows = write_counted(new)
-            self._recent = _Batch([path], rows) if rows else None
+                # Without nulls among the stable rows no null can match, so plain equality is the same.
+                new = joins.minus(new, self.stable, any(b.nulls for b in self._stable))
+            path, rows, nulls = write_counted(new)
+            self._recent = _Batch([path], rows, nulls) if rows else None
         return self._recent is not None
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -18,14 +19,15 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def write_counted(df: DataFrame) -> tuple[str, int]:
-    """Write ``df`` as a table in one job; its path and its number of rows."""
+def write_counted(df: DataFrame) -> tuple[str, int, bool]:
+    """Write ``df`` as a table in one job; its path, its number of rows and whether a column has a null."""
     path = f"{scratch_root(df.sparkSession)}/deltaweave/{uuid.uuid4().hex}"
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.option("compression", "lz4").parquet(path)
-    return path, int(seen.get["n"])
+    null = reduce(lambda a, b: a | b, [F.col(f"`{c}`").isNull() for c in df.columns], F.lit(False))
+    df.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(null).alias("nulls")).write.option("compression", "lz4").parquet(path)
+    return path, int(seen.get["n"]), seen.get["nulls"] > 0
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    path, _ = write_counted(df)
+    path, _, _ = write_counted(df)
     return df.sparkSession.read.schema(df.schema).parquet(path)
