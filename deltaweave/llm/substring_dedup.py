@@ -41,7 +41,7 @@ from .shared import row_blocks
 
 LEAST = 50
 GRAM = 20
-_BLOCK = 2 << 20
+_BLOCK = 3 << 19
 #: Bytes of spans whose suffixes are ordered at once; one owner's spans stay together.
 _SORTED = 1 << 20
 _LOW = np.uint64(0xFFFFFFFF)
@@ -58,24 +58,30 @@ def owned_windows(body: np.ndarray, offsets: np.ndarray, least: int = LEAST, gra
     none = np.zeros(0, np.int64)
     if n < least:
         return none, none, none, np.zeros(0, np.uint64)
-    h = textual.span_hashes(body, np.arange(n - gram + 1), np.arange(gram, n + 1))
+    h = textual.gram_hashes(body, gram)
     place = np.uint64((1 << 30) - 1)
-    low = (h & ~place) | np.arange(len(h), dtype=np.uint64)
+    low = h & ~place
+    low |= np.arange(len(h), dtype=np.uint64)
     size = 1
     while size < width:
         step = min(size, width - size)
         low = np.minimum(low[:-step], low[step:])
         size += step
-    owner = (low & place).astype(np.int64)
-    text = np.searchsorted(offsets, np.arange(len(owner)), side="right") - 1
-    at = np.flatnonzero(np.arange(len(owner)) + least <= offsets[text + 1])
+    owner = (low & place).astype(np.int32)
+    del low
+    text = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))[: len(owner)]
+    fits = np.zeros(len(owner) + least, bool)
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        fits[a : max(a, b - least + 1)] = True
+    at = np.flatnonzero(fits[: len(owner)])
     if not len(at):
         return none, none, none, np.zeros(0, np.uint64)
     own = owner[at]
-    new = np.concatenate([[True], (own[1:] != own[:-1]) | (text[at[1:]] != text[at[:-1]])])
+    whose = text[at]
+    new = np.concatenate([[True], (own[1:] != own[:-1]) | (whose[1:] != whose[:-1])])
     begin = np.flatnonzero(new)
     end = np.append(begin[1:], len(at)) - 1
-    return text[at[begin]], at[begin], at[end], h[own[begin]]
+    return whose[begin].astype(np.int64), at[begin], at[end], h[own[begin]]
 
 
 def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -383,7 +389,7 @@ def mark_windows(homes: int):
             parts.clear()
             ends = np.cumsum(more + LEAST)
             begin = ends - more - LEAST
-            order, firsts, group = _groups(textual.span_hashes(body, begin, ends))
+            order, firsts, group = _groups(textual.piece_hashes(body, ends))
             least = np.minimum.reduceat(key[order], firsts)
             one = order[firsts]
             spans = [body[a:b].tobytes() for a, b in zip(begin[one].tolist(), ends[one].tolist(), strict=True)]

@@ -98,12 +98,45 @@ def words_of(column: pa.Array, inside: np.ndarray, lower: bool = False) -> Words
     return Words(body, offsets, starts, np.flatnonzero(closes), np.searchsorted(starts, offsets))
 
 
+def _prefix_sums(body: np.ndarray) -> np.ndarray:
+    sums = np.zeros(len(body) + 1, np.uint64)
+    terms = body.astype(np.uint64)
+    terms += np.uint64(1)
+    terms *= _power("up", len(body))
+    np.cumsum(terms, out=sums[1:])
+    return sums
+
+
 def span_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte spans by prefix sums of a polynomial in an odd base."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    n = len(body)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((body.astype(np.uint64) + np.uint64(1)) * _power("up", n), out=sums[1:])
-    raw = (sums[ends] - sums[starts]) * _power("down", n)[starts]
+    sums = _prefix_sums(body)
+    raw = (sums[ends] - sums[starts]) * _power("down", len(body))[starts]
     return mix(raw ^ ((ends - starts).astype(np.uint64) << np.uint64(48)))
+
+
+def gram_hashes(body: np.ndarray, size: int) -> np.ndarray:
+    """The same hashes of all spans of ``size`` bytes, with few arrays of the body's length at once."""
+    sums = _prefix_sums(body)
+    raw = sums[size:] - sums[:-size]
+    del sums
+    raw *= _power("down", len(body))[: len(raw)]
+    raw ^= np.uint64(size << 48)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        raw ^= raw >> np.uint64(shift)
+        raw *= np.uint64(factor)
+    return raw
+
+
+def piece_hashes(body: np.ndarray, ends: np.ndarray, at_once: int = 1 << 20) -> np.ndarray:
+    """The same hashes of the pieces that ``body`` is cut into, some at a time."""
+    begins = np.concatenate([[0], ends[:-1]])
+    out = np.zeros(len(ends), np.uint64)
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, begins[lo] + at_once, side="right")))
+        base = begins[lo]
+        out[lo:hi] = span_hashes(body[base : ends[hi - 1]], begins[lo:hi] - base, ends[lo:hi] - base)
+        lo = hi
+    return out
