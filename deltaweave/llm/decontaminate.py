@@ -37,7 +37,7 @@ from . import textual
 from .shared import row_blocks
 
 WIDTH = 10
-_SHARD = 4 << 20
+_SHARD = 2 << 20
 _BUCKETS = np.uint64((1 << 16) - 1)
 
 FINDINGS = T.StructType(

@@ -37,7 +37,7 @@ from . import textual
 from .shared import materialize, row_blocks
 
 WINDOW = 2048
-_BLOCK = 4 << 20
+_BLOCK = 2 << 20
 #: Tails of one bucket in a numbering task, on average.
 _BUCKET_ROWS = 20_000
 #: Combinations that are solved for; a parameter of the method, not of the data.
@@ -86,7 +86,7 @@ class WordTokenizer:
         return out
 
     def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        if len(self.parts) > 300_000:
+        if len(self.parts) > 150_000:
             self.parts.clear()
         ids = [self._ids(w) for w in words]
         sizes = np.fromiter(map(len, ids), np.int32, len(ids))
