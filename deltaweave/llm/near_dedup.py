@@ -41,7 +41,7 @@ BANDS, ROWS = 32, 6
 SMALL = 24
 _BLOCK = 2 << 20
 _QUERIES = 4 << 20  # bytes of query texts in a block
-_MATCHES = 4 << 20  # shingle matches that are counted at once
+_MATCHES = 1 << 20  # shingle matches that are counted at once, or those of one text
 
 
 def shingles(column: pa.Array, size: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -214,10 +214,12 @@ class QueryIndex:
             d, c, z = doc[own], count[own], sizes[own]
             back = np.repeat(np.arange(len(d)), z)
             at = self.at[slot[own]][back] + np.arange(len(back)) - np.repeat(np.cumsum(z) - z, z)
+            other = labels[d[back]] != self.labels[self.owner[at]]
+            back, at = back[other], at[other]
             pair, where = np.unique(d[back] * n + self.owner[at], return_inverse=True)
             shared = np.bincount(where, np.minimum(c[back], self.count[at]))
             i, q = pair // n, pair % n
-            good = (shared >= threshold * (total[i] + self.total[q] - shared)) & (labels[i] != self.labels[q])
+            good = shared >= threshold * (total[i] + self.total[q] - shared)
             found.append(np.stack([q[good], i[good]]))
         q, i = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
         _, one = np.unique(np.stack([q, labels[i]]), axis=1, return_index=True)
