@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import recurrent as rnn
 from . import textual
-from .shared import row_blocks
+from .shared import lean, remembered, row_blocks
 
 _LONGEST = 32
 _BLOCK = 4 << 20
@@ -162,9 +162,6 @@ class WordMemory:
         self.parts.append((keys, rows))
 
 
-_memories: dict[str, WordMemory] = {}
-
-
 def predict(docs: DataFrame, model: Model | None, text: str = "text", into: str = "language") -> DataFrame:
     """Add the struct ``into``: lang_pred and score."""
     lettered = F.col(text).rlike("\\p{L}") if model else F.lit(False)
@@ -176,10 +173,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", into: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = held.value
         n = len(net.languages)
-        if stamp not in _memories:  # one model's words at a time, over all tasks of a worker
-            _memories.clear()
-            _memories[stamp] = WordMemory(n)
-        memory = _memories[stamp]
+        memory = remembered(("words", stamp), lambda: WordMemory(n))
         for batch in batches:
             for lo, hi in row_blocks(batch.column(place), _BLOCK):
                 words, starts, ends, owner = sequences(batch.column(place).slice(lo, hi - lo))
@@ -201,4 +195,4 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", into: str
     name = F.element_at(F.array(*[F.lit(x) for x in model.languages]), F.array_position("__share", best).cast("int"))
     sure = F.coalesce(lettered, F.lit(False))
     result = F.struct(F.when(sure, name).otherwise(F.lit("und")).alias("lang_pred"), F.when(sure, best.cast("double")).otherwise(F.lit(0.0)).alias("score"))
-    return docs.mapInArrow(run, schema).select(*own, result.alias(into))
+    return docs.mapInArrow(lean(run), schema).select(*own, result.alias(into))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textual
-from .shared import discard, materialize, row_blocks
+from .shared import discard, forget, lean, materialize, row_blocks
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 6
@@ -125,6 +125,7 @@ def sketch(docs: DataFrame, key: str = "doc_id", text: str = "text", bands: int
     schema = f"id {docs.schema[key].dataType.simpleString()}, address binary, bands array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for lo, hi in row_blocks(batch.column(1), _BLOCK):
                 n = hi - lo
@@ -148,7 +149,7 @@ def sketch(docs: DataFrame, key: str = "doc_id", text: str = "text", bands: int
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashed[some].view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.array(address, pa.binary()), lists], ["id", "address", "bands"])
 
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(lean(run), schema)
 
 
 def jaccard(a: pa.Array, b: pa.Array, weighted: bool = False) -> np.ndarray:
@@ -178,7 +179,7 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, wei
                 alike = pa.array(jaccard(part.column(2), part.column(3), weighted) >= threshold)
                 yield part.select(["a", "b"]).filter(alike)
 
-    return both.mapInArrow(run, pairs.select("a", "b").schema)
+    return both.mapInArrow(lean(run), pairs.select("a", "b").schema)
 
 
 class QueryIndex:
@@ -245,7 +246,7 @@ def search(queries: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, w
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         if got:
-            made.append(texts.select("id", "label", "text").mapInArrow(run, f"a {kind}, b {kind}"))
+            made.append(texts.select("id", "label", "text").mapInArrow(lean(run), f"a {kind}, b {kind}"))
     out = spark.createDataFrame([], f"a {kind}, b {kind}")
     for df in made:
         out = out.union(df)

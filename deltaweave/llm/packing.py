@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textual
-from .shared import materialize, row_blocks
+from .shared import lean, materialize, remembered, row_blocks
 
 WINDOW = 2048
 _BLOCK = 2 << 20
@@ -135,25 +135,20 @@ class WordTokenizer:
         return ids, np.concatenate([[0], ends])[words.first]
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
-
-
 def tokenize(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", end_id: int = 1) -> DataFrame:
     """(row, key, n, ids): ids as little-endian 16-bit numbers, the end id included; ``row`` is unique."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     schema = f"key {rows.schema['key'].dataType.simpleString()}, n long, ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _tokenizers:
-            _tokenizers[path] = WordTokenizer(path)
-        tokenizer = _tokenizers[path]
+        tokenizer = remembered(("tokenizer", path), lambda: WordTokenizer(path))
         for batch in batches:
             for lo, hi in row_blocks(batch.column(1), _BLOCK):
                 ids, bounds = tokenizer.encode(batch.column(1).slice(lo, hi - lo))
                 out = [np.append(ids[a:b], np.uint16(end_id)).astype("<u2").tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(bounds) + 1), pa.array(out, pa.binary())], ["key", "n", "ids"])
 
-    return rows.mapInArrow(run, schema).select(F.monotonically_increasing_id().alias("row"), "key", "n", "ids")
+    return rows.mapInArrow(lean(run), schema).select(F.monotonically_increasing_id().alias("row"), "key", "n", "ids")
 
 
 def combinations(lengths: np.ndarray, counts: np.ndarray, window: int, most: int = _MAX_COMBINATIONS) -> np.ndarray:
@@ -318,4 +313,4 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", wi
                 [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"],
             )
 
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(lean(cut), schema)

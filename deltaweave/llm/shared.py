@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -59,3 +61,38 @@ def row_blocks(column: pa.Array, limit: int):
         size += int(n)
     if lo < len(lengths):
         yield lo, len(lengths)
+
+
+_held: dict = {}
+
+
+def remembered(name, make: Callable):
+    """What a Python worker keeps from task to task: one thing, so that operators that share a worker don't add up."""
+    if name not in _held:
+        forget()
+        _held[name] = make()
+    return _held[name]
+
+
+def forget() -> None:
+    _held.clear()
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system; the allocator would keep it for this worker."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only some C libraries have it
+        return
+
+
+def lean(run: Callable) -> Callable:
+    """The Arrow pass ``run``, which leaves no freed memory in its worker."""
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return passed

@@ -23,7 +23,7 @@ def _power(kind: str, n: int) -> np.ndarray:
         factors = np.full(max(n, 1 << 16), _BASE if kind == "up" else _INVERSE, np.uint64)
         factors[0] = 1
         have = np.cumprod(factors)
-        if n <= 1 << 23:
+        if n <= 1 << 22:
             _powers[kind] = have
     return have[:n]
 
