@@ -9,6 +9,9 @@ Everything is built-in Spark expressions. A rule's matches are found with
 ``regexp_extract_all`` and their places with ``split`` on the same pattern: the
 pieces between matches give the offsets, in code points.
 
+A rule may name only the start of a secret (``pem``: the line that opens a private
+key). ``scan`` places that start; ``redact`` takes the whole of it, from ``reach``.
+
 Defined results: a null text is the empty blob, which has no findings; repeated
 rows are paths of the same blob; empty tables give empty ledgers. Columns of
 the input other than the key and text are carried by ``locate`` untouched.
@@ -16,7 +19,7 @@ the input other than the key and text are carried by ``locate`` untouched.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,15 +29,29 @@ from .shared import materialize, text_or_empty
 
 @dataclass(frozen=True)
 class SecretRule:
-    """``pattern`` finds candidates; ``group`` of one must have ``least`` characters or more."""
+    """``pattern`` finds candidates; ``group`` of one must have ``least`` characters or more.
+
+    ``reach``, where given, is what follows a match and belongs to the secret.
+    """
 
     kind: str
     pattern: str
     least: int = 0
     group: int = 0
     base: bool = False
+    reach: str = ""
 
 
+# What follows the opening line of a private key: all up to its closing line, unless another line of dashes comes
+# before; else the lines of base64 after it, of which some fields may come first and the last may be short. Line
+# breaks may be written out (\n) or lost, and lines quoted or indented. Possessive loops don't recurse.
+_BREAK = r"""(?:[\s"'>#*|+,]|\\[nrt])"""
+_KEY_BODY = (
+    r"""(?:(?:[^-]++|-(?!----))*+-----END [A-Z ]*PRIVATE KEY-----"""
+    rf"""|(?:{_BREAK}*+(?:Proc-Type|DEK-Info):[^\n\\]*+)*+(?:(?:{_BREAK}*+[A-Za-z0-9+/=]{{24,}}+)++"""
+    rf"""(?:{_BREAK}++[A-Za-z0-9+/=]++(?=[\x20\t"',]*+(?:[\r\n\\]|\z)|(?<==)))?+)?+)"""
+)
+
 # The base patterns of the contract, then the formats of well-known public credentials.
 # A run of hex digits, or of capitals and digits after AKIA, that is too short can't hold a longer one,
 # so there the least length stands in the pattern; after an assignment it can, so there it is tested later.
@@ -43,12 +60,15 @@ RULES = (
     SecretRule("access", r"AKIA[A-Z0-9]{16,}", 20, 0, True),
     SecretRule("hex", r"[0-9a-f]{24,}", 24, 0, True),
     SecretRule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40),
-    SecretRule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0),
+    SecretRule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, reach=_KEY_BODY),
     SecretRule("hosted", r"(?:gh[pousr]_|glpat-|xox[abprs]-|sk_live_|AIza)[A-Za-z0-9_-]+", 24),
 )
 #: Changes with the rules, so that a new set scans every blob again.
 RULES_VERSION = "1"
 
+#: The rules with all that belongs to a secret.
+WHOLE = tuple(replace(r, pattern=r.pattern + r.reach) for r in RULES)
+
 _SPAN = "array<struct<start:long,end:long,rank:int,kind:string>>"
 
 
@@ -120,8 +140,8 @@ def count_of(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
-def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "[SECRET]", rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
-    """The rows of ``docs`` with every span in the text replaced by ``mark``; overlaps count once.
+def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "[SECRET]", rules: tuple[SecretRule, ...] = WHOLE) -> DataFrame:
+    """The rows of ``docs`` with every secret in the text replaced by ``mark``; overlaps count once.
 
     The scan goes through a ledger, so equal texts are scanned once; the spans
     come back by content address.

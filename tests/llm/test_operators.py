@@ -308,6 +308,36 @@ def test_secrets(spark, hard, nothing):
     assert secret_scan.scan(nothing).count() == 0 and secret_scan.redact(nothing).count() == 0
 
 
+def test_private_keys_are_redacted_whole(spark):
+    rng = random.Random(8)
+    lines = ["".join(rng.choices("abcXYZ019+/", k=64)) for _ in range(20)] + ["Qk9+=="]
+    head, tail, other = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----"
+    fields = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0A1B", ""]
+    made = {
+        "see\n[SECRET]\nand so on": "see\n" + "\n".join([head, *lines, tail]) + "\nand so on",
+        "a [SECRET] b": "a " + " ".join([head, *lines, tail]) + " b",
+        '{"k": "[SECRET]\\n"}': '{"k": "' + "\\n".join([head, *lines, tail]) + '\\n"}',
+        "x [SECRET]\nAnd then": "x " + "\n".join([head, *fields, *lines]) + "\nAnd then",
+        "y [SECRET] then some words": "y " + " ".join([head, *lines]) + " then some words",
+        "z [SECRET]\n[SECRET].": "z " + "\n".join([head, *lines, other, *lines, tail]) + ".",
+        "[SECRET]": "\r\n> ".join([head, *fields, *lines, tail]),
+        "[SECRET] begins a key - it ends elsewhere": head + " begins a key - it ends elsewhere",
+        "long [SECRET] end": "long " + "\n".join([head, *lines * 1000, tail]) + " end",
+        "[SECRET] after an assignment": "token=" + "\n".join([head, *lines, tail]) + " after an assignment",
+        "[SECRET]\nAlone\nstands": head + "\nAlone\nstands",
+        "cut [SECRET]": "cut " + "\n".join([head, *lines[:20] * 1000]),
+        "dashes [SECRET]" + " -a" * 50_000: "dashes " + head + " -a" * 50_000,
+    }
+    df = spark.createDataFrame(list(enumerate(made.values())), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in secret_scan.redact(df).collect()}
+    for i, want in enumerate(made):
+        assert got[i] == want
+        assert not any(x in got[i] for x in lines)
+    # What the query reports stays as its SQL says: the place of the opening line.
+    spans = {r["doc_id"]: r["spans"] for r in secret_scan.locate(df, secret_scan.scan(df)).collect()}
+    assert [(s["start"], s["end"]) for s in spans[0] if s["kind"] == "pem"] == [(4, 4 + len(head))]
+
+
 # 9. Toxicity
 
 
