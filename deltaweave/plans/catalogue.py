@@ -85,6 +85,14 @@ def leap_extend_anti(spark, d):
     return leapjoin(e, leapers, lambda t, v: {"a": t.a, "b": t.b, "c": v[0]})
 
 
+@query(f"with e as ({UE}) select distinct x.a, x.b, y.b as c from e x join e y on x.b = y.a where not exists (select 1 from e z where z.a = x.a and z.b = y.b)")
+def leap_extend_anti_all(spark, d):
+    """``leap_extend_anti`` over all users."""
+    e = user_edges(spark, d)
+    leapers = [ExtendWith(e, {"a": "b"}, ["b"]), ExtendAnti(e, {"a": "a"}, ["b"])]
+    return leapjoin(e, leapers, lambda t, v: {"a": t.a, "b": t.b, "c": v[0]})
+
+
 @query(f"with e as ({UE}) select a, b from e intersect select b, a from e")
 def leap_filter_with(spark, d):
     e = user_edges(spark, d)
@@ -109,6 +117,14 @@ def leap_value(spark, d):
     return Relation(leapjoin(e, leapers, lambda t, v: {"a": t.a, "c": v[0]})).df
 
 
+@query(f"with e as ({UE}) select distinct x.a, y.b as c from e x join e y on x.b = y.a where x.a < y.b")
+def leap_value_all(spark, d):
+    """``leap_value`` over all users."""
+    e = user_edges(spark, d)
+    leapers = [ExtendWith(e, {"a": "b"}, ["b"]), ValueFilter(lambda t, v: t.a < v[0])]
+    return Relation(leapjoin(e, leapers, lambda t, v: {"a": t.a, "c": v[0]})).df
+
+
 @query(f"with e as ({UE}) select x.a, x.b from e x where x.a < x.b and exists (select 1 from e z where z.a = x.b and z.b = x.a)")
 def leap_passthrough(spark, d):
     e = user_edges(spark, d)
@@ -201,6 +217,13 @@ def same_generation(spark, d):
     return programs.same_generation(spark, part_tree(spark, d).where("a < 256"))
 
 
+# No SQL: the pairs grow with the square of the parts, which DuckDB's recursion doesn't bear on the larger tables.
+@query(None)
+def same_generation_all(spark, d):
+    """``same_generation`` over all parts."""
+    return programs.same_generation(spark, part_tree(spark, d))
+
+
 @query(f"with recursive e as ({PT}), r as (select a, b, cast(1 as bigint) as par from e union select r.a, e.b, 1 - r.par from r join e on r.b = e.a) select a, b, par from r")
 def mutual_parity(spark, d):
     return programs.parity(spark, part_tree(spark, d))
@@ -301,6 +324,18 @@ def indistinct_temp(spark, d):
 )
 def leap_seven(spark, d):
     e = user_edges(spark, d)
+    return _seven(e.where("a < 20"), e)
+
+
+@query(SQL["leap_seven"].replace("where x.a < 20 and", "where"))
+def leap_seven_all(spark, d):
+    """``leap_seven`` over all users."""
+    e = user_edges(spark, d)
+    return _seven(e, e)
+
+
+def _seven(source: DataFrame, e: DataFrame) -> DataFrame:
+    """Rows of ``source`` through seven leapers over ``e``."""
     even = e.where("a % 2 = 0").select(F.col("b").alias("k"), F.col("a").alias("v"))
     leapers = [
         ExtendWith(e, {"a": "b"}, ["b"]),
@@ -311,7 +346,7 @@ def leap_seven(spark, d):
         PrefixFilter(lambda t: t.a < t.b),
         ValueFilter(lambda t, v: v[0] > t.b),
     ]
-    return leapjoin(e.where("a < 20"), leapers, lambda t, v: {"a": t.a, "b": t.b, "c": v[0]})
+    return leapjoin(source, leapers, lambda t, v: {"a": t.a, "b": t.b, "c": v[0]})
 
 
 @query(None)
