@@ -8,9 +8,10 @@ bytes alone, each different word goes through the network once in a block and
 is remembered by its hash, so a text costs what its new words cost.
 
 It is trained in numpy by backpropagation through time on the words of a bounded
-sample of labelled rows: ``sample`` rows of each of the ``most_languages`` most
-frequent languages, the first by a hash of the key, none of more than
-``sample_chars`` characters. Predictions read whole texts.
+sample of labelled rows: ``sample`` rows of every language, the first by a hash of
+the key, each its first ``sample_chars`` characters, or fewer where there are so many
+languages that all pieces would exceed ``all_chars``. The steps of training and the
+width of the network grow with the number of languages. Predictions read whole texts.
 
 Defined results: ``und`` with score 0 where the text is null or has no letter, or
 where no language could be learned; repeated rows get equal results; an empty
@@ -25,12 +26,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import recurrent as rnn
 from . import textual
-from .shared import lean, remembered, row_blocks
+from .shared import discard, lean, materialize, remembered, row_blocks
 
 _LONGEST = 32
 _BLOCK = 4 << 20
@@ -49,8 +50,9 @@ class Model:
         out = np.zeros((len(starts), len(self.languages)), np.float32)
         sizes = ends - starts
         order = np.argsort(sizes, kind="stable")
-        for lo in range(0, len(order), _WORDS):
-            own = order[lo : lo + _WORDS]
+        size = max(64, _WORDS * 16 // max(16, len(self.languages)))
+        for lo in range(0, len(order), size):
+            own = order[lo : lo + size]
             x, mask, turn = padded(body, starts[own], sizes[own])
             f = rnn.gru_forward(table[0][x], mask, p["uf"])
             back = rnn.gru_forward(table[1][np.take_along_axis(x, turn, 1)], mask, p["ub"])
@@ -78,15 +80,20 @@ def sequences(column: pa.Array) -> tuple[textual.Words, np.ndarray, np.ndarray,
     return words, starts, np.minimum(starts + _LONGEST, words.ends[owner]), words.owner()[owner]
 
 
-def train(texts: list[str], languages: list[str], hidden: int = 16, width: int = 16, steps: int = 300, batch: int = 256, rate: float = 0.01, seed: int = 1) -> Model | None:
-    """Fit on the words of labelled texts; a word counts once for each text's language and time it occurs."""
+def train(texts: list[str], languages: list[str], hidden: int | None = None, width: int = 16, steps: int = 300, batch: int = 256, rate: float = 0.01, seed: int = 1) -> Model | None:
+    """Fit on the words of labelled texts; a word counts once for each text's language and time it occurs.
+
+    ``steps`` is for four languages and grows in proportion.
+    """
     names = sorted(set(languages))
     words, starts, ends, owner = sequences(pa.array(texts, pa.string()))
     if not names or not len(starts):
         return None
-    target = np.array([names.index(x) for x in languages])[owner]
+    number = {x: i for i, x in enumerate(names)}
+    target = np.array([number[x] for x in languages])[owner]
+    steps = -(-steps * max(4, len(names)) // 4)
     rng = np.random.default_rng(seed)
-    k, n = hidden, len(names)
+    k, n = hidden or min(64, max(16, len(names) // 2)), len(names)
     normal = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
     p: rnn.Params = {
         "embed": rng.standard_normal((256, width)).astype(np.float32) * 0.5,
@@ -121,16 +128,20 @@ def train(texts: list[str], languages: list[str], hidden: int = 16, width: int =
     return Model(names, p)
 
 
-def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 300, most_languages: int = 64, sample_chars: int = 20_000, **how) -> Model | None:
+def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 300, sample_chars: int = 20_000, all_chars: int = 64_000_000, **how) -> Model | None:
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang is not null and text is not null")
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
-    texts, languages = [], []
-    for r in common:
-        own = rows.where((F.col("lang") == r["lang"]) & (F.char_length("text") <= sample_chars)).orderBy(F.xxhash64("key"), "key", "text").limit(sample)
-        got = [x["text"] for x in own.select("text").collect()]
-        texts += got
-        languages += [r["lang"]] * len(got)
-    return train(texts, languages, **how)
+    rows = rows.withColumn("own", F.xxhash64("text"))
+    # The sample is chosen by keys and hashes; texts of the chosen rows alone are moved.
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key", "own")
+    chosen = materialize(rows.select("lang", "key", "own").withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= sample).drop("nth").distinct())
+    n = chosen.select("lang").distinct().count()
+    piece = min(sample_chars, max(200, all_chars // max(1, n * sample)))
+    r, c = rows.alias("r"), F.broadcast(chosen.alias("c"))
+    held = r.join(c, (F.col("r.lang") == F.col("c.lang")) & F.col("r.key").eqNullSafe(F.col("c.key")) & (F.col("r.own") == F.col("c.own")), "left_semi")
+    got = held.dropDuplicates(["lang", "key", "own"]).select("lang", F.xxhash64("key").alias("h"), "key", "own", F.substring("text", 1, piece).alias("text"))
+    got = got.orderBy("lang", "h", "key", "own").select("lang", "text").collect()
+    discard(chosen)
+    return train([x["text"] for x in got], [x["lang"] for x in got], **how)
 
 
 class WordMemory:
@@ -173,9 +184,9 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", into: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = held.value
         n = len(net.languages)
-        memory = remembered(("words", stamp), lambda: WordMemory(n))
+        memory = remembered(("words", stamp), lambda: WordMemory(n, max(10_000, 8_000_000 // n)))
         for batch in batches:
-            for lo, hi in row_blocks(batch.column(place), _BLOCK):
+            for lo, hi in row_blocks(batch.column(place), max(1 << 16, _BLOCK * 16 // max(16, n))):
                 words, starts, ends, owner = sequences(batch.column(place).slice(lo, hi - lo))
                 keys, first, back = np.unique(textual.span_hashes(words.body, starts, ends), return_index=True, return_inverse=True)
                 rows, known = memory.find(keys)

@@ -156,6 +156,20 @@ def test_language_held_out(spark, docs, hard, nothing):
     assert {r[0] for r in language_id.predict(hard, None).select("language.lang_pred").collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(9)
+    pairs = [a + b for a in "abcdefghijklm" for b in "nopqrstuvwxyz"][::2][:70]
+    text = lambda k, chars: " ".join("".join(rng.choices(pairs[k], k=6)) for _ in range(chars // 7))
+    # The last languages are rarest; one has only long texts.
+    rows = [(100 * k + i, text(k, 30_000 if k == 66 else 300), f"l{k:02}") for k in range(70) for i in range(3 if k < 66 else 2)]
+    df = spark.createDataFrame([*rows, (None, text(69, 300), "l69"), (None, text(69, 300), "l69")], "doc_id long, text string, lang string")
+    model = language_id.learn(df, steps=40)
+    assert model.languages == [f"l{k:02}" for k in range(70)]
+    fresh = spark.createDataFrame([(k, text(k, 400)) for k in range(70)], "doc_id long, text string")
+    found = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(fresh, model).select("doc_id", "language.*").collect()}
+    assert np.mean([found[k] == f"l{k:02}" for k in range(70)]) > 0.9 and all(found[k] == f"l{k:02}" for k in range(64, 70))
+
+
 # 4. HTML
 
 
