@@ -4,9 +4,9 @@
    a document with its end id is cut into full windows and one tail.
 2. Count: a histogram of tail lengths, at most one row for each length.
 3. Solve (driver, over the histogram alone): combinations of two or three
-   lengths that fill a window exactly are enumerated, their repeat counts are
-   solved by non-negative least squares against the histogram and rounded down
-   within the supply. Lengths that are left over are packed greedily: laid end
+   lengths that fill a window exactly are enumerated, all that the lengths present
+   allow (their number depends on the window alone), their repeat counts are solved
+   by non-negative least squares against the histogram and rounded within the supply. Lengths that are left over are packed greedily: laid end
    to end, longest first, and cut where a window ends.
 4. Place: tails of a length are numbered by a two-level count (a bucket's offset
    and the place in the bucket), so no length gathers in one task; the number
@@ -21,14 +21,11 @@ besides the key and text are not carried.
 
 from __future__ import annotations
 
-import re
-import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,98 +37,52 @@ WINDOW = 2048
 _BLOCK = 2 << 20
 #: Tails of one bucket in a numbering task, on average.
 _BUCKET_ROWS = 20_000
-#: Combinations that are solved for; a parameter of the method, not of the data.
-_MAX_COMBINATIONS = 20_000
 
 
 class WordTokenizer:
-    """Ids of white-space separated words, each word tokenized once.
+    """Ids of white-space separated words, each different word tokenized once.
 
     The tokenizer drops white space before it splits, so the ids of a text are
-    those of its words in order. Plain Latin words are normalized here (their
-    lower case and composition need no context) and split by the same pattern;
-    the library's model turns the parts into ids. Any other word goes through
-    the whole library. What is remembered is bounded: at ``_KEEP`` words the
-    memory starts anew, which costs time only.
+    those of its words in order. Every word goes through the library; words are
+    told apart by their bytes. What is remembered is bounded: at ``_KEEP`` words
+    the memory starts anew, which costs time only.
     """
 
-    _KEEP = 3_000_000
-    # Fixed value: the split pattern of the tokenizer file, for Latin letters and digits.
-    _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+    _KEEP = 400_000
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
-        self.model = self.whole.model
-        self.bytes = [pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(c))[0][0] if c else "Ā" for c in range(0x180)]
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = True
         self.reset()
 
     def reset(self) -> None:
-        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.new: tuple[np.ndarray, np.ndarray, np.ndarray] = (self.keys, self.at, self.size)
-        self.pool, self.used = np.zeros(1 << 16, np.uint16), 0
-        self.parts: dict[str, list[int]] = {}
-
-    def _ids(self, word: str) -> list[int]:
-        if any(c >= "ƀ" or c in "İªº²³¹¼½¾µ" for c in word) or "<|" in word:
-            return self.whole.encode(word, add_special_tokens=False).ids
-        out: list[int] = []
-        for part in self._PARTS.findall(unicodedata.normalize("NFC", word).lower()):
-            ids = self.parts.get(part)
-            if ids is None:
-                ids = self.parts[part] = [t.id for t in self.model.tokenize("".join([self.bytes[ord(c)] for c in part]))]
-            out += ids
-        return out
+        self.known: dict[bytes, int] = {}
+        self.bounds, self.pool = np.zeros(1, np.int64), np.zeros(0, np.uint16)
 
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        if len(self.parts) > 150_000:
-            self.parts.clear()
-        ids = [self._ids(w) for w in words]
-        sizes = np.fromiter(map(len, ids), np.int32, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint16, int(sizes.sum()))
-        while self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[self.used : self.used + len(flat)] = flat
-        at = self.used + np.cumsum(sizes) - sizes
-        self.used += len(flat)
-        self.new = self._merged(self.new, (keys, at, sizes))
-        if len(self.new[0]) * 4 > len(self.keys):
-            self.keys, self.at, self.size = self._merged((self.keys, self.at, self.size), self.new)
-            self.new = (self.keys[:0], self.at[:0], self.size[:0])
-
-    @staticmethod
-    def _merged(a, b):
-        keys = np.concatenate([a[0], b[0]])
-        order = np.argsort(keys, kind="stable")
-        return tuple(np.concatenate([x, y])[order] for x, y in zip(a, b, strict=True))
-
-    @staticmethod
-    def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(keys):
-            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-        slot = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return slot, keys[slot] == wanted
+    def _learn(self, words: list[bytes]) -> None:
+        ids = [e.ids for e in self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
+        self.pool = np.concatenate([self.pool, np.fromiter((i for x in ids for i in x), np.uint16, int(sizes.sum()))])
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block of texts, and the bounds of each text's ids."""
         words = textual.words_of(column, textual.WHITE)
-        if len(self.keys) + len(self.new[0]) > self._KEEP:
+        first, which = textual.distinct_spans(words.body, words.starts, words.ends)
+        body = words.body.tobytes()
+        keys = [body[a:b] for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True)]
+        if len(self.known) > self._KEEP:
             self.reset()
-        keys, first, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        unknown = ~(self._find(self.keys, keys)[1] | self._find(self.new[0], keys)[1])
-        if unknown.any():
-            body, lo, hi = words.body.tobytes(), words.starts[first[unknown]], words.ends[first[unknown]]
-            self._learn(keys[unknown], [body[a:b].decode() for a, b in zip(lo.tolist(), hi.tolist(), strict=True)])
-        slot, old = self._find(self.keys, keys)
-        at, size = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int32)
-        at[old], size[old] = self.at[slot[old]], self.size[slot[old]]
-        slot, young = self._find(self.new[0], keys)
-        at[young], size[young] = self.new[1][slot[young]], self.new[2][slot[young]]
-        sizes = size[back].astype(np.int64)
+        unknown = [k for k in keys if k not in self.known]
+        if unknown:
+            self._learn(unknown)
+        number = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
+        at, sizes = self.bounds[number][which], np.diff(self.bounds)[number][which]
         ends = np.cumsum(sizes)
-        ids = self.pool[np.repeat(at[back] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
+        ids = self.pool[np.repeat(at - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
         return ids, np.concatenate([[0], ends])[words.first]
 
 
@@ -151,23 +102,21 @@ def tokenize(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text"
     return rows.mapInArrow(lean(run), schema).select(F.monotonically_increasing_id().alias("row"), "key", "n", "ids")
 
 
-def combinations(lengths: np.ndarray, counts: np.ndarray, window: int, most: int = _MAX_COMBINATIONS) -> np.ndarray:
-    """Rows of up to three present lengths (0: none) that sum to ``window``, the likeliest first."""
-    have = np.zeros(window + 1, np.int64)
-    have[lengths] = counts
-    pairs = [(a, window - a, 0) for a in lengths if a <= window - a and have[window - a]]
-    common = lengths[np.argsort(-counts, kind="stable")][:400]
-    a, b = np.meshgrid(common, common)
-    c = window - a - b
-    fits = (a >= b) & (b >= c) & (c > 0)
-    a, b, c = a[fits], b[fits], c[fits]
-    fits = have[c] > 0
-    a, b, c = a[fits], b[fits], c[fits]
-    best = np.argsort(-np.minimum(np.minimum(have[a], have[b]), have[c]), kind="stable")[: most - len(pairs)]
-    return np.array(pairs + list(zip(a[best].tolist(), b[best].tolist(), c[best].tolist(), strict=True)), np.int64).reshape(-1, 3)
+def combinations(lengths: np.ndarray, counts: np.ndarray, window: int) -> np.ndarray:
+    """All rows of two or three present lengths (a third of 0: none), largest first, that sum to ``window``."""
+    have = np.zeros(window + 1, bool)
+    have[lengths[counts > 0]] = True
+    have[0] = True
+    present = np.flatnonzero(have[1:]) + 1
+    rows = [np.zeros((0, 3), np.int64)]
+    for a in present[3 * present >= window].tolist():
+        b = present[(present <= min(a, window - a)) & (2 * present >= window - a)]
+        b = b[have[window - a - b]]
+        rows.append(np.stack([np.full(len(b), a), b, window - a - b], 1))
+    return np.concatenate(rows)
 
 
-def nonnegative_least_squares(rows: np.ndarray, target: np.ndarray, steps: int = 400) -> np.ndarray:
+def nonnegative_least_squares(rows: np.ndarray, target: np.ndarray, steps: int = 200) -> np.ndarray:
     """Repeat counts x >= 0 that minimize the squared distance of used lengths from ``target``.
 
     Accelerated projected gradient over the sparse matrix whose column j has a
@@ -197,6 +146,11 @@ def nonnegative_least_squares(rows: np.ndarray, target: np.ndarray, steps: int =
     return x
 
 
+def rounded(x: np.ndarray) -> np.ndarray:
+    """Whole repeats whose running sums are those of ``x``, rounded: many small parts of one don't vanish."""
+    return np.diff(np.floor(np.cumsum(x) + 0.5), prepend=0.0).astype(np.int64)
+
+
 @dataclass
 class Plan:
     """Where the tail with number r of each length goes.
@@ -224,10 +178,12 @@ def solve(lengths: np.ndarray, counts: np.ndarray, window: int) -> Plan:
     slots: list[tuple[int, int, int, int]] = []
     sequence = 0
     rows = combinations(lengths, counts, window)
-    repeats = np.floor(nonnegative_least_squares(rows, supply) + 0.5).astype(np.int64) if len(rows) else ()
-    for row, want in sorted(zip(rows.tolist(), repeats, strict=True), key=lambda p: -p[1]):
+    repeats = rounded(nonnegative_least_squares(rows, supply)) if len(rows) else np.zeros(0, np.int64)
+    some = np.flatnonzero(repeats)
+    some = some[np.argsort(-repeats[some], kind="stable")]
+    for row, want in zip(rows[some].tolist(), repeats[some].tolist(), strict=True):
         parts = [n for n in row if n]
-        take = min([int(want), *(int(left[n]) // parts.count(n) for n in parts)])
+        take = min([want, *(int(left[n]) // parts.count(n) for n in parts)])
         if take < 1:
             continue
         offset = 0
@@ -290,27 +246,31 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", wi
     joined = tokens.join(numbered, "row").select("key", "n", "ids", "tail", "number", "window_number")
     schema = f"{key} {tokens.schema['key'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
+    names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, tail, number, full_at = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 3, 4, 5))
             sequence, offset = place(tail, number, plan.value, window)
-            out: list[tuple] = []
-            for i in range(batch.num_rows):
-                ids = np.frombuffer(batch.column(2)[i].as_buffer(), "<u2")
-                pieces = [(s * window, window, first_full + full_at[i] + s, 0) for s in range(n[i] // window)]
-                if tail[i]:
-                    start, head = n[i] - tail[i], min(tail[i], window - offset[i])
-                    pieces.append((start, head, sequence[i], offset[i]))
-                    if head < tail[i]:
-                        pieces.append((start + head, tail[i] - head, sequence[i] + 1, 0))
-                for start, length, at, within in pieces:
-                    own = ids[start : start + length].astype("<u4").tobytes()
-                    out.append((i, start, length, zlib.crc32(own), n[i], at, within, own))
-            rows = pd.DataFrame(out, columns=["i", "start", "length", "crc", "n", "sequence", "offset", "ids"])
-            numbers = [pa.array(rows[c].to_numpy(np.int64)) for c in ("start", "length", "crc", "n", "sequence", "offset")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows["i"].to_numpy(np.int64))), *numbers, pa.array(rows["ids"].tolist(), pa.binary())],
-                [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"],
-            )
+            # A row's pieces: its full windows, then the tail, which a window's end may cut once.
+            full, head = n // window, np.minimum(tail, window - offset)
+            sizes = full + (tail > 0) + (head < tail)
+            i = np.repeat(np.arange(len(n)), sizes)
+            k = np.arange(len(i)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            whole, second = k < full[i], k > full[i]
+            start = k * window
+            start[second] = (full[i] * window + head[i])[second]
+            length = np.where(whole, window, np.where(second, (tail - head)[i], head[i]))
+            at = np.where(whole, first_full + full_at[i] + k, sequence[i] + second)
+            within = np.where(whole | second, 0, offset[i])
+            # The pieces of all rows, one after the other, are the rows' ids.
+            raw, _ = textual.buffer_of(batch.column(2))
+            ids = raw.view("<u2").astype("<u4")
+            ends = np.cumsum(length) * 4
+            view = memoryview(ids).cast("B")
+            crc = [zlib.crc32(view[b - 4 * m : b]) for b, m in zip(ends.tolist(), length.tolist(), strict=True)]
+            owned = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(i), [None, pa.py_buffer(np.append(0, ends)), pa.py_buffer(ids)]).cast(pa.binary())
+            columns = [start, length, np.array(crc, np.int64), n[i], at, within]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), *map(pa.array, columns), owned], [key, *names, "ids"])
 
     return joined.mapInArrow(lean(cut), schema)

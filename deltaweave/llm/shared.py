@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,25 +22,27 @@ def scratch_root(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="deltaweave-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet in the shared folder and read it back."""
+def materialize(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Cut lineage: write ``df`` as Parquet in the shared folder and read it back; ``by`` names a column to divide it by."""
     path = f"{scratch_root(df.sparkSession)}/deltaweave/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
     """Delete a table made by :func:`materialize` that nothing reads any more."""
     jvm = df.sparkSession._jvm
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/deltaweave/" in name:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    for name in {m[0] for f in df.inputFiles() if (m := re.match(r".*/deltaweave/[0-9a-f]{32}(?=/)", f))}:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +53,14 @@ def text_or_empty(name: str):
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that begins like ``name`` and that ``df`` hasn't."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def row_blocks(column: pa.Array, limit: int):
     """Consecutive row ranges of about ``limit`` bytes of text; a longer text is a range of its own."""
     lengths = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -98,27 +99,90 @@ def words_of(column: pa.Array, inside: np.ndarray, lower: bool = False) -> Words
     return Words(body, offsets, starts, np.flatnonzero(closes), np.searchsorted(starts, offsets))
 
 
-def _prefix_sums(body: np.ndarray) -> np.ndarray:
-    sums = np.zeros(len(body) + 1, np.uint64)
-    terms = body.astype(np.uint64)
-    terms += np.uint64(1)
-    terms *= _power("up", len(body))
-    np.cumsum(terms, out=sums[1:])
-    return sums
+def _eights(body: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of ``body`` as one number; zeros follow its end."""
+    padded = np.concatenate([body, np.zeros(8, np.uint8)])
+    return np.ndarray((len(body) + 1,), "<u8", padded, 0, (1,))
+
+
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Spans beyond this many bytes are hashed one by one by the library.
+_SHORT = 96
 
 
 def span_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans by prefix sums of a polynomial in an odd base."""
+    """64-bit hashes of byte spans; equal spans have equal hashes, and :func:`same_spans` tells whether the converse holds.
+
+    Eight bytes at a time are mixed in, for all spans at once; long ones go through xxh3.
+    """
+    sizes = ends - starts
     if not len(starts):
         return np.zeros(0, np.uint64)
-    sums = _prefix_sums(body)
-    raw = (sums[ends] - sums[starts]) * _power("down", len(body))[starts]
-    return mix(raw ^ ((ends - starts).astype(np.uint64) << np.uint64(48)))
+    eights = _eights(body)
+    out = mix(sizes.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
+    live = np.flatnonzero((sizes > 0) & (sizes <= _SHORT))
+    at, left = starts[live], sizes[live]
+    while len(live):
+        piece = eights[at] & _KEEP[np.minimum(left, 8)]
+        out[live] = mix((out[live] ^ piece) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x2545F4914F6CDD1D))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    raw = memoryview(np.ascontiguousarray(body))
+    for i in np.flatnonzero(sizes > _SHORT).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]])
+    return out
+
+
+def same_spans(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the bytes of ``a`` and ``b`` from these places agree over ``sizes`` bytes, span by span."""
+    same = np.ones(len(sizes), bool)
+    x, y = _eights(a), _eights(b)
+    live = np.flatnonzero((sizes > 0) & (sizes <= _SHORT))
+    p, q, left = a_at[live], b_at[live], sizes[live]
+    while len(live):
+        keep = _KEEP[np.minimum(left, 8)]
+        alike = (x[p] & keep) == (y[q] & keep)
+        same[live[~alike]] = False
+        more = alike & (left > 8)
+        live, p, q, left = live[more], p[more] + 8, q[more] + 8, left[more] - 8
+    for i in np.flatnonzero(sizes > _SHORT).tolist():
+        same[i] = np.array_equal(a[a_at[i] : a_at[i] + sizes[i]], b[b_at[i] : b_at[i] + sizes[i]])
+    return same
+
+
+def distinct_spans(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, which): a span of each different byte string, and the number of each span's string.
+
+    Hashes bring equal spans together; bytes decide.
+    """
+    _, first, which = np.unique(span_hashes(body, starts, ends), return_index=True, return_inverse=True)
+    one = first[which]
+    sizes = ends - starts
+    good = sizes == sizes[one]
+    good[good] = same_spans(body, starts[good], body, starts[one[good]], sizes[good])
+    if good.all():
+        return first, which
+    extra: dict[bytes, int] = {}  # spans whose hash another string has
+    for i in np.flatnonzero(~good).tolist():
+        word = body[starts[i] : ends[i]].tobytes()
+        if word not in extra:
+            extra[word] = len(first)
+            first = np.append(first, i)
+        which[i] = extra[word]
+    return first, which
 
 
 def gram_hashes(body: np.ndarray, size: int) -> np.ndarray:
-    """The same hashes of all spans of ``size`` bytes, with few arrays of the body's length at once."""
-    sums = _prefix_sums(body)
+    """Numbers of all spans of ``size`` bytes that equal spans share; they pick places, and never decide equality.
+
+    Prefix sums of a polynomial in an odd base, with few arrays of the body's length at once.
+    """
+    sums = np.zeros(len(body) + 1, np.uint64)
+    terms = body.astype(np.uint64)
+    terms += np.uint64(1)
+    terms *= _power("up", len(body))
+    np.cumsum(terms, out=sums[1:])
+    del terms
     raw = sums[size:] - sums[:-size]
     del sums
     raw *= _power("down", len(body))[: len(raw)]
@@ -127,16 +191,3 @@ def gram_hashes(body: np.ndarray, size: int) -> np.ndarray:
         raw ^= raw >> np.uint64(shift)
         raw *= np.uint64(factor)
     return raw
-
-
-def piece_hashes(body: np.ndarray, ends: np.ndarray, at_once: int = 1 << 20) -> np.ndarray:
-    """The same hashes of the pieces that ``body`` is cut into, some at a time."""
-    begins = np.concatenate([[0], ends[:-1]])
-    out = np.zeros(len(ends), np.uint64)
-    lo = 0
-    while lo < len(ends):
-        hi = max(lo + 1, int(np.searchsorted(ends, begins[lo] + at_once, side="right")))
-        base = begins[lo]
-        out[lo:hi] = span_hashes(body[base : ends[hi - 1]], begins[lo:hi] - base, ends[lo:hi] - base)
-        lo = hi
-    return out
