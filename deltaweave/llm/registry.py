@@ -35,7 +35,7 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     model = language_id.learn(docs.where(~held_out))
     found = language_id.predict(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held_out.alias("held_out"), "language.*")
@@ -84,7 +84,8 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "leaks.*", (F.col("leaks.n_hit") > 0).alias("contaminated"))
+    columns = ("n_words", "n_hit", "n_items", "items_sha256", "longest_words")
+    return found.select("doc_id", *[F.col(f"leaks.{c}").alias(c) for c in columns], (F.col("leaks.n_hit") > 0).alias("contaminated"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
