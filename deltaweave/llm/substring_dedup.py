@@ -45,6 +45,8 @@ _BLOCK = 3 << 19
 #: Bytes of spans whose suffixes are ordered at once; one owner's spans stay together.
 _SORTED = 1 << 20
 _LOW = np.uint64(0xFFFFFFFF)
+#: Bytes of text for each task of a shuffle.
+_SHARE = 8 << 20
 
 
 def owned_windows(body: np.ndarray, offsets: np.ndarray, least: int = LEAST, gram: int = GRAM):
@@ -246,11 +248,11 @@ def emit_spans(buckets: int):
             row = np.repeat(np.arange(len(sizes)), sizes)
             own = np.unique(np.searchsorted(text, row) + ords)
             text, first, last, h = text[own], first[own], last[own], h[own]
-            span = textual.span_hashes(body, first, last + LEAST)
-            order, starts, group = _groups(span)
-            mine = key[text[order]]
-            least = np.minimum.reduceat(mine, starts)[group] if len(starts) else mine
-            gone, sent = np.sort(order[mine > least]), np.sort(order[mine == least])
+            one, which = textual.distinct_spans(body, first, last + LEAST)
+            mine = key[text]
+            least = mine[one]
+            np.minimum.at(least, which, mine)
+            gone, sent = np.flatnonzero(mine > least[which]), np.flatnonzero(mine == least[which])
             rows: list[tuple] = []
 
             def packed(bucket, own, raw, rid=rid, key=key, text=text, first=first, last=last, h=h, offsets=offsets, rows=rows):
@@ -304,10 +306,10 @@ def prefix_intervals(codes: np.ndarray, least: int) -> np.ndarray:
     """
     n = len(codes)
     order = suffix_order(codes, least)
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    # Row r came by backward extension from row back[r], whose transform byte is the first of r.
-    back = place[np.minimum(order + 1, n - 1)]
+    transform = codes[order - 1]
+    # Rows by the byte before them, ties in order: row r came by backward extension from row back[r].
+    # Suffixes that tie as far as they were compared may change places; they share all intervals.
+    back = np.argsort(transform, kind="stable")
     first = codes[order]
     part = np.concatenate([[True], first[1:] != first[:-1]])
     number = np.cumsum(part)
@@ -389,14 +391,12 @@ def mark_windows(homes: int):
             parts.clear()
             ends = np.cumsum(more + LEAST)
             begin = ends - more - LEAST
-            order, firsts, group = _groups(textual.piece_hashes(body, ends))
-            least = np.minimum.reduceat(key[order], firsts)
-            one = order[firsts]
+            one, which = textual.distinct_spans(body, begin, ends)
+            least = key[one]
+            np.minimum.at(least, which, key)
             spans = [body[a:b].tobytes() for a, b in zip(begin[one].tolist(), ends[one].tolist(), strict=True)]
             late = later_windows(spans, owner[one], least)
-            mask = np.empty(len(rid), np.int64)
-            mask[order] = np.where(key[order] > least[group], every(more)[order], late[group].astype(np.int64))
-            yield out(rid, start, mask)
+            yield out(rid, start, np.where(key > least[which], every(more), late[which].astype(np.int64)))
 
     return run
 
@@ -442,14 +442,15 @@ def _cut(texts: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", texts: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", texts: bool = True, share: int = _SHARE) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256, kept_text): a row for each input row.
 
     ``kept_text`` is the remaining bytes as text, a cut character replaced; with
-    ``texts`` False it is null.
+    ``texts`` False it is null. ``share`` is the bytes of text for each task of a
+    shuffle, on average: a task's memory doesn't grow with the table.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    parts = max(4, -(-int(total) // share))
     buckets = max(4, parts // 2)
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
