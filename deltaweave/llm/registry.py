@@ -70,8 +70,11 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In two increments: a part of the rows with the base rules alone, then all rows with all rules, of which the ledger has some."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ledger = materialize(secret_scan.scan(docs))
+    earlier = docs.where(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 2 == 0)
+    ledger = materialize(secret_scan.scan(earlier, rules=tuple(r for r in secret_scan.RULES if r.base)))
+    ledger = ledger.union(materialize(secret_scan.scan(docs, ledger)))
     spans = F.col("spans")
     return secret_scan.locate(docs, ledger).select(
         "doc_id",

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -61,6 +61,28 @@ def fresh_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def lookup(rows: DataFrame, key: str, found: DataFrame, light: Column | None = None, hot: int = 1000) -> DataFrame:
+    """``rows`` with the other columns of ``found`` (one row a key at most), null where the key isn't there.
+
+    The ``hot`` keys of most rows come by broadcast, so at most that many rows of
+    ``found`` do; ``light``, a condition on these, keeps large ones out. All other
+    keys come by an ordinary join, in which rows that are done, and rows without
+    a key, are dealt by their places.
+    """
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1000").orderBy(F.desc("count"), key).limit(hot)
+    top = counts.select(key).join(found, key, "left")
+    top = materialize(top if light is None else top.where(light))
+    values = [c for c in found.columns if c != key]
+    done, by, value, wanted, deal = (fresh_name(rows, n) for n in ("done", "by", "value", "wanted", "deal"))
+    known = top.select(F.col(key).alias(wanted), F.struct(*values).alias(value), F.lit(True).alias(done))
+    marked = rows.join(F.broadcast(known), F.col(key) == F.col(wanted), "left").drop(wanted)
+    cold = F.col(done).isNull() & F.col(key).isNotNull()
+    marked = marked.withColumns({by: F.when(cold, F.xxhash64(key)).otherwise(F.monotonically_increasing_id()), deal: F.when(cold, F.col(key))})
+    other = found.select(F.xxhash64(key).alias("o_by"), F.col(key).alias("o_key"), F.struct(*values).alias("o_value"))
+    both = marked.join(other, (F.col(by) == F.col("o_by")) & (F.col(deal) == F.col("o_key")), "left")
+    return both.select(*[F.col(f"`{c}`") for c in rows.columns], *[F.coalesce(F.col(value), F.col("o_value"))[c].alias(c) for c in values])
+
+
 def row_blocks(column: pa.Array, limit: int):
     """Consecutive row ranges of about ``limit`` bytes of text; a longer text is a range of its own."""
     lengths = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
