@@ -13,14 +13,17 @@ Equal sets are one class at once. The others meet in buckets of banded
 coordinates, never as all pairs of a bucket: each bucket names its smallest
 member and links the rest to it, then the members that this did not join choose
 among themselves. What is still apart in a small bucket is compared with the
-bucket's other components; what is apart in a bucket of more than ``SMALL`` goes,
-in blocks of queries, through an index of shingles past all candidates, which
-makes no row but for a link. Every link is verified on the whole texts, and
+bucket's other components; what is apart in a bucket of more than ``SMALL`` is
+compared with the whole bucket too, in blocks that are dealt out to tasks and go
+through an index of shingles, which makes no row but for a link. Every link is verified on the whole texts, and
 components are found by passing smallest labels, in tables on the shared folder.
 
+The similarity is that of sets, so every weight is 1; with ``weighted`` it is
+that of multisets, and a shingle's weight is its count.
+
 Defined results: a text without words (null and empty ones too) has no partner;
-repeated rows are one class, as are rows with equal ids; an empty table gives no
-rows. Extra columns of the input don't matter. A row without an id gets the
+repeated rows are one class, as are rows with equal ids, each of whose texts links
+to others'; an empty table gives no rows. Ids are integers. Extra columns of the input don't matter. A row without an id gets the
 class of an equal text with one, else none; ``drop_near_duplicates`` keeps it.
 """
 
@@ -34,13 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textual
-from .shared import discard, forget, lean, materialize, row_blocks
+from .shared import discard, forget, lean, lookup, materialize, materialize_counted, row_blocks
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 6
 SMALL = 24
 _BLOCK = 2 << 20
-_QUERIES = 4 << 20  # bytes of query texts in a block
+_QUERIES = 4 << 20  # bytes of texts in a block of a crowded bucket
 _MATCHES = 1 << 20  # shingle matches that are counted at once, or those of one text
 
 
@@ -185,9 +188,9 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, wei
 class QueryIndex:
     """The shingles of a block of query texts, to count those that other texts share with them."""
 
-    def __init__(self, ids: list, labels: list, texts: list[str], weighted: bool):
-        owner, key, count = shingles(pa.array(texts, pa.string()))
-        self.ids, self.labels, self.weighted = np.array(ids), np.array(labels), weighted
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, texts: pa.Array, weighted: bool):
+        owner, key, count = shingles(texts)
+        self.ids, self.labels, self.weighted = ids, labels, weighted
         count = count if weighted else np.ones(len(count), np.int64)
         order = np.argsort(key, kind="stable")
         self.keys, first = np.unique(key[order], return_index=True)
@@ -227,30 +230,38 @@ class QueryIndex:
         return self.ids[q[one]], ids[i[one]]
 
 
-def search(queries: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, weighted: bool = False) -> DataFrame:
-    """(a, b): for each query (id, label, text) similar ``texts`` of each other label; queries come in blocks."""
-    spark = queries.sparkSession
-    blocks = max(1, -(-int(queries.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // _QUERIES))
-    kind = texts.schema["id"].dataType.simpleString()
-    made = []
-    for k in range(blocks):
-        got = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).orderBy("id").collect()
-        held = spark.sparkContext.broadcast(([r["id"] for r in got], [r["label"] for r in got], [r["text"] for r in got]))
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = QueryIndex(*held.value, weighted)
-            for batch in batches:
-                for lo, hi in row_blocks(batch.column(2), _BLOCK):
-                    part = batch.slice(lo, hi - lo)
-                    a, b = index.links(part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False), part.column(2), threshold)
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-        if got:
-            made.append(texts.select("id", "label", "text").mapInArrow(lean(run), f"a {kind}, b {kind}"))
-    out = spark.createDataFrame([], f"a {kind}, b {kind}")
-    for df in made:
-        out = out.union(df)
-    return out
+def search(mixed: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, weighted: bool = False, block: int = _QUERIES) -> DataFrame:
+    """(a, b): for the members of each bucket outside its leading class, similar members of each other class.
+
+    ``mixed`` is (bucket, id, label, head). A bucket is cut in blocks of queries and
+    parts of members, of about ``block`` bytes; a task compares one block with one
+    part through an index of shingles, so no bucket gathers anywhere and no row is
+    made but for a link.
+    """
+    mixed = mixed.select("bucket", "id", "label", "head")
+    sized = mixed.join(texts, "id").select("bucket", "id", "label", "head", "text")
+    bytes_of = F.octet_length("text") + F.lit(64)
+    query = F.col("label") != F.col("head")
+    cuts = mixed.join(texts.select("id", bytes_of.alias("size")), "id").groupBy("bucket").agg(
+        (F.floor(F.sum(F.when(query, F.col("size")).otherwise(0)) / block) + 1).alias("blocks"), (F.floor(F.sum("size") / block) + 1).alias("parts")
+    )
+    placed = sized.join(cuts, "bucket")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    deal = lambda n: F.pmod(F.xxhash64("id", "text"), F.col(n))
+    asked = placed.where(query).select("bucket", deal("blocks").alias("block"), every("parts").alias("part"), "id", "label", "text").toDF("q_bucket", "q_block", "q_part", "q_id", "q_label", "q_text")
+    held = placed.select("bucket", deal("parts").alias("part"), every("blocks").alias("block"), "id", "label", "text")
+    kind = mixed.schema["id"].dataType.simpleString()
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        numbers = lambda t, c: t.column(c).to_numpy()
+        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if left.num_rows and right.num_rows:
+            index = QueryIndex(numbers(left, "q_id"), numbers(left, "q_label"), left.column("q_text").combine_chunks(), weighted)
+            a, b = index.links(numbers(right, "id"), numbers(right, "label"), right.column("text").combine_chunks(), threshold)
+        return pa.table({"a": a, "b": b})
+
+    sides = asked.groupBy("q_bucket", "q_block", "q_part"), held.select("bucket", "block", "part", "id", "label", "text").groupBy("bucket", "block", "part")
+    return sides[0].cogroup(sides[1]).applyInArrow(run, f"a {kind}, b {kind}")
 
 
 def components(edges: DataFrame, before: DataFrame | None = None) -> DataFrame:
@@ -270,8 +281,8 @@ def components(edges: DataFrame, before: DataFrame | None = None) -> DataFrame:
         around = links.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         nearer = labels.join(around, "id").select("id", F.least("label", "near").alias("label"), F.col("label").alias("old"))
         jump = labels.select(F.col("id").alias("label"), F.col("label").alias("next"))
-        new = materialize(nearer.join(jump, "label").select("id", F.least("label", "next").alias("label"), "old"))
-        changed = new.where("label <> old").limit(1).count()
+        made = nearer.join(jump, "label").select("id", F.least("label", "next").alias("label"), "old")
+        new, changed = materialize_counted(made, F.col("label") != F.col("old"))
         discard(labels)
         labels = new.select("id", "label")
         if not changed:
@@ -288,53 +299,62 @@ def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
 def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
     """(key, class_id): a row for each input row; the class is its smallest id."""
     sketches = materialize(sketch(docs, key, text, bands, rows, weighted))
-    copies = sketches.where("address is not null").groupBy("address").agg(F.min("id").alias("first"))
     # One row for each different set: the first with its address, by a partial minimum of whole rows.
     single = sketches.where("address is not null").groupBy("address").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
-    banded = single.select("id", F.explode("bands").alias("bucket"))
+    banded = single.where("id is not null").select("id", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last")
-    members = materialize(banded.join(shared.select("bucket"), "bucket").select("bucket", "id"))
-    wanted = members.select("id").distinct()
-    whole = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    # Rows with equal ids and different texts: each set is found by id, so keep one text of an id.
-    texts = materialize(whole.join(wanted, "id").groupBy("id").agg(F.max("text").alias("text")))
+    members = materialize(banded.join(shared.select("bucket"), "bucket").select("bucket", "id").distinct())
+    # An id may have several texts: each is compared, so that none's links are lost.
+    whole = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).where("text is not null")
+    texts = materialize(whole.join(members.select("id").distinct(), "id").dropDuplicates(["id", "text"]))
     labels, tested = None, None
     for turn in range(3):
         apart = _labelled(members, labels)
         heads = apart.groupBy("bucket").agg(F.min("label").alias("head"), F.max("label").alias("tail"), F.count("*").alias("size")).where("head < tail")
-        far = None
+        mixed, left = materialize_counted(apart.join(heads.select("bucket", "head", "size"), "bucket"))
+        if not left:
+            discard(mixed)
+            break
+        rest = mixed.where("label <> head")
+        edges = None
         if turn == 0:
-            pairs = apart.join(heads, "bucket").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
+            pairs = rest.select(F.col("head").alias("a"), F.col("id").alias("b"))
+        elif turn == 1:
+            lead = rest.groupBy("bucket").agg(F.min("id").alias("a"))
+            pairs = rest.join(lead, "bucket").where("id <> a").select("a", F.col("id").alias("b"))
         else:
-            mixed = materialize(apart.join(heads.select("bucket", "head", "size"), "bucket"))
-            rest = mixed.where("label <> head")
-            if turn == 1:
-                lead = rest.groupBy("bucket").agg(F.min("id").alias("a"))
-                pairs = rest.join(lead, "bucket").where("id <> a").select("a", F.col("id").alias("b"))
-            else:
-                # Outside the leading class after two rounds: against all others of the bucket, or of all buckets.
-                crowded = materialize(rest.groupBy("id", "label").agg(F.max("size").alias("most")))
-                far = crowded.where(F.col("most") > SMALL).select("id", "label")
-                near = rest.join(crowded.where(F.col("most") <= SMALL).select("id"), "id").select("bucket", F.col("id").alias("a"), F.col("label").alias("la"))
-                other = mixed.where(F.col("size") <= SMALL).select("bucket", F.col("id").alias("b"), F.col("label").alias("lb"))
-                pairs = near.join(other, "bucket").where("la <> lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            # Outside the leading class after two rounds: against all others of the bucket.
+            near = rest.where(F.col("size") <= SMALL).select("bucket", F.col("id").alias("a"), F.col("label").alias("la"))
+            other = mixed.where(F.col("size") <= SMALL).select("bucket", F.col("id").alias("b"), F.col("label").alias("lb"))
+            pairs = near.join(other, "bucket").where("la <> lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            edges = search(mixed.where(F.col("size") > SMALL).join(rest.select("bucket").distinct(), "bucket"), texts, threshold, weighted)
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs)
-        edges = verify(pairs, texts, threshold, weighted)
-        if far is not None:
-            placed = texts.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"), "text")
-            edges = edges.union(search(far.join(texts, "id"), placed, threshold, weighted))
-        labels = components(materialize(edges), labels)
+        verified = verify(pairs, texts, threshold, weighted)
+        edges, many = materialize_counted((verified if edges is None else verified.union(edges)).distinct())
+        if many:
+            before, labels = labels, components(edges, labels)
+            if before is not None:
+                discard(before)
+        discard(edges)
+        discard(mixed)
         tested = pairs if tested is None else materialize(tested.union(pairs))
-    first = sketches.join(copies, "address", "left").select("id", F.coalesce("first", "id").alias("own"))
-    return first.join(labels.select(F.col("id").alias("own"), "label"), "own", "left").select(F.col("id").alias(key), F.coalesce("label", "own").alias("class_id"))
+    discard(texts)
+    classes = single.select("address", "id")
+    if labels is not None:
+        classes = classes.join(labels, "id", "left").select("address", F.coalesce("label", "id").alias("class"))
+    found = lookup(sketches.select("id", "address"), "address", classes.toDF("address", "class"))
+    return found.select(F.col("id").alias(key), F.coalesce("class", "id").alias("class_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """One row of each class: the one with the smallest id (of equal rows, one)."""
+    """Of each class the row with the smallest id, of equal rows one; different texts of that id all stay.
+
+    Rows without an id stay.
+    """
     classes = near_duplicate_classes(docs, key, text, **how)
     kept = classes.where(F.col(key) == F.col("class_id")).select(key).distinct()
-    single = docs.join(kept, key, "left_semi").dropDuplicates([key])
+    single = docs.join(kept, key, "left_semi").dropDuplicates([key, text])
     return single.unionByName(docs.where(F.col(key).isNull()))

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -37,6 +37,14 @@ def materialize(df: DataFrame, by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_counted(df: DataFrame, test: Column | None = None) -> tuple[DataFrame, int]:
+    """:func:`materialize`, and how many rows there are, or pass ``test``, counted by the job that writes."""
+    seen = Observation()
+    one = F.lit(1) if test is None else F.when(test, F.lit(1))
+    made = materialize(df.observe(seen, F.count(one).alias("n")))
+    return made, int(seen.get["n"])
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by :func:`materialize` that nothing reads any more."""
     jvm = df.sparkSession._jvm

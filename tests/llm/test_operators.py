@@ -126,6 +126,43 @@ def test_near_duplicates(spark, small, monkeypatch):
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == set(got.values())
 
 
+def test_near_duplicates_of_repeated_ids_and_crowded_buckets(spark):
+    rng = random.Random(11)
+    text = lambda seed, n: " ".join(f"t{seed}x{k}" for k in range(n))
+    z, a = text("z", 40), text("a", 60)
+    rows = [(1, a + " once"), (1, z), (2, a), (3, z + " more"), (3, text("own", 30)), (1, z), (2, a)]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1}
+    kept = near_dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in kept) == sorted([(1, a + " once"), (1, z)])
+    # Two templates, whose texts meet in crowded buckets and fall into many classes.
+    rows = []
+    for t, lo in (("p", 10), ("q", 1000)):
+        base = [f"{t}{k}" for k in range(100)]
+        for i in range(120):
+            w = list(base)
+            for part in range(rng.randrange(3)):
+                at = rng.randrange(95)
+                w[at : at + 4] = [f"{t}v{part}w{rng.randrange(6)}n{k}" for k in range(4)]
+            rows.append((lo + i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for weighted in (False, True):
+        got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicate_classes(df, weighted=weighted).collect()}
+        assert got == brute_classes(rows)
+
+
+def test_weighted_similarity(spark):
+    rows = [(1, "a b c d e " * 20), (2, "a b c d e " * 18), (3, "a b c d e " * 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["class_id"] for r in near_dedup.near_duplicate_classes(df).collect()} == {1}
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicate_classes(df, weighted=True).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_near_duplicates_query(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()]
+    assert {r["doc_id"]: r["class_id"] for r in registry.op2_near_dedup(spark, FOLDER).collect()} == brute_classes(rows)
+
+
 def test_near_duplicates_hard_rows(hard, nothing):
     got = near_dedup.near_duplicate_classes(hard).collect()
     assert len(got) == len(HARD) and {r["class_id"] for r in got if r["doc_id"] == 1} == {1}
