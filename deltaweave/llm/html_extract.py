@@ -3,20 +3,25 @@
 A page becomes the sequence of its leaf blocks: runs of text that no block-level
 tag interrupts, each with the path of its open tags. A block is a vector: the sum
 of learned embeddings of the tags and the class, id and role words on its path and
-of fixed random vectors of its hashed words. A bidirectional LSTM in numpy reads the whole sequence, so each
-label depends on the blocks before and after it; labelled blocks are joined.
+of all its words, hashed. A bidirectional LSTM in numpy reads the whole
+sequence, so each label depends on the blocks before and after it; labelled blocks are
+joined.
 
 The labeller is trained here by backpropagation through time on pages that are
 made up from public HTML conventions (articles, menus, sidebars, notices, adverts,
 forms, comments) and filled with words of a bounded sample of the real pages
-(``sample`` rows), so that words alone don't decide.
+(``sample`` rows). Some of the other parts say what such parts say on any site, with or
+without telling names around them, so that words count where tags don't tell.
 
 What is never text (comments, scripts, styles, templates, the head) is left out
-by the reader, before labels.
+by the reader, before labels. End tags that the standard lets out are supplied: a tag
+or text that can't be in the head ends it, page content ends a drawing or a list of
+options, and of other such elements that are never closed only the tag is left out.
 
 Defined results: a null or empty page, and one without main text, gives the empty
-string; unclosed and stray tags end or open nothing else; repeated rows get equal
-results; an empty table gives no rows. Extra columns are carried untouched.
+string; stray tags end or open nothing else; a tag whose quote is left open ends at
+its first ``>``; repeated rows get equal results; an empty table gives no rows. Extra
+columns are carried untouched; ``into`` must not be one of them.
 """
 
 from __future__ import annotations
@@ -26,6 +31,8 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,23 +40,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import recurrent as rnn
+from .shared import lean, row_blocks
 
 # Element kinds of the HTML standard.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 _SKIPPED = frozenset("script style noscript template head title svg math iframe object canvas audio video select textarea".split())
-_RAW = frozenset("script style title textarea".split())
+_RAW = frozenset("script style title textarea iframe".split())
+_IN_HEAD = frozenset("head base basefont bgsound link meta title style script noscript template".split())
+_LEAVES_FOREIGN = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 #: An opening tag that ends an open one of the same group.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _HOLDS = frozenset("ul ol dl table tbody thead tfoot div section article main body aside nav".split())
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_LOOSE = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>")
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _PART = re.compile(r"[a-z]+|[A-Z][a-z]*|\d+")
 
-_TABLE, _WIDTH, _HIDDEN = 4096, 24, 16
-_PATH_ROWS = 3072  # of the table; the rest is for words
+_BLOCK = 4 << 20
+_PATH_ROWS, _WORD_ROWS, _WIDTH, _HIDDEN = 3072, 8192, 24, 16
+_TABLE = _PATH_ROWS + _WORD_ROWS
 
 
 def _row(kind: str, value: str) -> int:
@@ -57,7 +69,7 @@ def _row(kind: str, value: str) -> int:
 
 
 def _word_row(word: str) -> int:
-    return _PATH_ROWS + zlib.crc32(word.lower().encode()) % (_TABLE - _PATH_ROWS)
+    return _PATH_ROWS + zlib.crc32(word.lower().encode()) % _WORD_ROWS
 
 
 def blocks_of(page: str) -> list[tuple[tuple[tuple[str, ...], ...], str]]:
@@ -80,14 +92,33 @@ def blocks_of(page: str) -> list[tuple[tuple[tuple[str, ...], ...], str]]:
         skipped -= sum(n in _SKIPPED for n, _ in stack[k:])
         del stack[k:]
 
+    unclosed: set[str] = set()  # of which no end tag follows
+
+    def closed(name: str, begin: int) -> int:
+        """Where the next end tag of this name begins; -1 if there is none."""
+        if name in unclosed:
+            return -1
+        stop = re.compile(f"</{name}(?![a-zA-Z0-9:-])", re.I).search(page, begin)
+        if not stop:
+            unclosed.add(name)
+        return stop.start() if stop else -1
+
+    def leave(names) -> None:
+        for k, (n, _) in enumerate(stack):
+            if n in names:
+                pop(k)
+                break
+
     at, size = 0, len(page)
     while at < size:
         mark = page.find("<", at)
-        found = _MARKUP.match(page, mark) if mark >= 0 else None
+        found = (_MARKUP.match(page, mark) or _LOOSE.match(page, mark)) if mark >= 0 else None
         if mark < 0 or not found:
             end = size if mark < 0 else mark + 1
         else:
             end = mark
+        if end > at and skipped and stack[-1][0] == "head" and not page[at:end].isspace():
+            pop(len(stack) - 1)
         if end > at and not skipped:
             if not held:
                 path = tuple(w for n, w in stack if n not in _INLINE)
@@ -96,7 +127,7 @@ def blocks_of(page: str) -> list[tuple[tuple[tuple[str, ...], ...], str]]:
         if not found:
             continue
         at = found.end()
-        name = (found[2] or "").lower()
+        name = (found[2] if found.re.groups and found[2] else "").lower()
         if not name:
             continue
         if name not in _INLINE:
@@ -109,6 +140,13 @@ def blocks_of(page: str) -> list[tuple[tuple[tuple[str, ...], ...], str]]:
                 if name in _INLINE and stack[k][0] not in _INLINE:
                     break
             continue
+        if skipped:
+            if name not in _IN_HEAD:
+                leave(("head",))
+            if name in _LEAVES_FOREIGN:
+                leave(("svg", "math"))
+            if name in _CLOSES_P:
+                leave(("select",))
         if name in _CLOSES_P:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == "p":
@@ -125,36 +163,46 @@ def blocks_of(page: str) -> list[tuple[tuple[tuple[str, ...], ...], str]]:
                     break
         if name in _VOID or found[3].endswith("/"):
             continue
+        if name in _SKIPPED and name not in ("head", "script", "style", "svg", "math", "select") and closed(name, at) < 0:
+            if name == "title":
+                at = page.find("<", at) if "<" in page[at:] else size
+            continue
         words = [name]
         for _, value in _NAMED.findall(found[3]):
             words += [x.lower() for x in _PART.findall(value)]
         stack.append((name, tuple(words)))
         skipped += name in _SKIPPED
         if name in _RAW:
-            stop = re.compile(f"</{name}", re.I).search(page, at)
-            at = stop.start() if stop else size
+            stop = closed(name, at)
+            at = stop if stop >= 0 else size
     flush()
     return out
 
 
-def features(path: tuple[tuple[str, ...], ...], text: str, words: int = 6) -> list[int]:
-    """Rows of the embedding table: tags and words of the path, the parent once more, and some words of the text."""
+@lru_cache(200_000)
+def _path_rows(path: tuple[tuple[str, ...], ...]) -> tuple[int, ...]:
     rows = {_row("on", w) for level in path for w in level}
     if path:
         rows.add(_row("in", path[-1][0]))
-    parts = text.split()
-    picked = parts[: words // 2] + parts[-(words // 2) :]
-    return [*rows, *{_word_row(w) for w in picked}]
+    return tuple(rows)
+
+
+_word_row_of = lru_cache(200_000)(_word_row)
+
+
+def features(path: tuple[tuple[str, ...], ...], text: str) -> list[int]:
+    """Rows of the embedding table: tags and words of the path, the parent once more, and all words of the text."""
+    return [*_path_rows(path), *map(_word_row_of, text.split())]
 
 
 def flat_rows(page: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rows, weights, blocks' first rows): words count less than the path, and both by the root of their number."""
-    rows = np.array([r for block in page for r in block], np.int64)
-    sizes = np.array([len(b) for b in page])
+    """(rows, weights, blocks' first rows): the path's rows by the root of their number, the words' by their mean."""
+    sizes = np.fromiter(map(len, page), np.int64, len(page))
+    rows = np.fromiter(chain.from_iterable(page), np.int64, int(sizes.sum()))
     owner = np.repeat(np.arange(len(page)), sizes)
     word = rows >= _PATH_ROWS
     number = np.bincount(owner * 2 + word, minlength=2 * len(page))[owner * 2 + word]
-    return rows, (np.where(word, 0.03, 1.0) / np.sqrt(number)).astype(np.float32)[:, None], np.cumsum(sizes) - sizes
+    return rows, (np.where(word, 0.25, 1.0) / np.where(word, number, np.sqrt(number))).astype(np.float32)[:, None], np.cumsum(sizes) - sizes
 
 
 @dataclass
@@ -212,7 +260,16 @@ def made_page(rng: np.random.Generator, words: list[str]) -> list[tuple[tuple[tu
         named = tag in ("nav", "header", "footer", "aside", "form") and rng.random() < 0.6
         level = (tag,) if named else (tag, *[pick(_OTHER[kind]) for _ in range(int(rng.integers(1, 3)))])
         inner = [("ul",), ("li",)] if kind == "nav" and rng.random() < 0.7 else [("p",)] if rng.random() < 0.4 else [("div",)] if rng.random() < 0.2 else []
-        some = [((*at, level, *inner), say(1, 40 if long else 8), False) for _ in range(int(rng.integers(1, 8)))]
+        telling = rng.random() < 0.4
+        if telling and at is root and rng.random() < 0.2:
+            level, inner = (pick(["div", "section", "aside"]),), []  # nothing but the words tells
+
+        def words_of(lo, hi):
+            if not telling:
+                return say(lo, hi)
+            return " ".join(pick(_OTHER[kind]) if rng.random() < 0.5 else pick(own) for _ in range(int(rng.integers(max(3, lo), max(6, hi)))))
+
+        some = [((*at, level, *inner), words_of(1, 40 if long else 8), False) for _ in range(int(rng.integers(1, 8)))]
         return [((*at, level, (pick(["h2", "h3", "h4"]),)), say(1, 4), False)] * (rng.random() < 0.3) + some
 
     out: list = []
@@ -243,9 +300,11 @@ def made_page(rng: np.random.Generator, words: list[str]) -> list[tuple[tuple[tu
     return out or [((*body, ("p",)), say(1, 30), True)]
 
 
-def train(words: list[str], pages: int = 1500, epochs: int = 8, batch: int = 16, rate: float = 0.008, seed: int = 1, trace: list | None = None) -> Labeller:
+def train(words: list[str], pages: int = 800, epochs: int = 6, batch: int = 16, rate: float = 0.008, seed: int = 1, trace: list | None = None) -> Labeller:
     rng = np.random.default_rng(seed)
-    words = words or ["text"]
+    # Words of no page besides, so that the rows of words that don't tell are alike for all blocks.
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    words = [*words, *("".join(rng.choice(letters, int(n))) for n in rng.integers(2, 12, 20_000))]
     normal = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
     k = _HIDDEN
     p: rnn.Params = {
@@ -281,11 +340,13 @@ def train(words: list[str], pages: int = 1500, epochs: int = 8, batch: int = 16,
             for side, at, dx in (("f", x, dxf), ("b", xb, dxb)):
                 g["w" + side], g["b" + side] = flat(at).T @ flat(dx), flat(dx).sum(0)
             dx = dxf @ p["wf"].T + np.take_along_axis(dxb @ p["wb"].T, turn[:, :, None], 1) + (d + lone)[:, :, None] * p["ox"]
+            flats = [flat_rows(rows[i]) for i in own]
+            used, weights = (np.concatenate([f[k] for f in flats]) for k in (0, 1))
+            back_to = np.concatenate([np.repeat(dx[row, : len(rows[i])], [len(b) for b in rows[i]], 0) for row, i in enumerate(own)]) * weights
+            order_of = np.argsort(used, kind="stable")
+            found, first = np.unique(used[order_of], return_index=True)
             g["embed"] = np.zeros_like(p["embed"])
-            for row, i in enumerate(own):
-                used, weights, _ = flat_rows(rows[i])
-                np.add.at(g["embed"], used, np.repeat(dx[row, : len(rows[i])], [len(b) for b in rows[i]], 0) * weights)
-            g["embed"][_PATH_ROWS:] = 0  # words keep their random vectors: pages are made up of too few to learn from
+            g["embed"][found] = np.add.reduceat(back_to[order_of], first)
             adam.rate = rate * (1 - done / total) + 1e-4
             adam.step(g)
             done += 1
@@ -294,34 +355,46 @@ def train(words: list[str], pages: int = 1500, epochs: int = 8, batch: int = 16,
 
 def learn(pages: DataFrame, key: str = "page_id", html: str = "html", sample: int = 60, sample_chars: int = 50_000, **how) -> Labeller:
     """Train on made-up pages filled with words of at most ``sample`` pages of at most ``sample_chars``."""
-    rows = pages.where(F.char_length(html) <= sample_chars).orderBy(F.xxhash64(key), key).limit(sample).select(html).collect()
+    own = F.xxhash64(html)
+    some = pages.where(F.char_length(html) <= sample_chars)
+    # Keys and hashes choose the pages; only the chosen ones are fetched.
+    chosen = some.select(F.col(key).alias("k"), own.alias("h")).distinct().orderBy(F.xxhash64("k", "h"), "k", "h").limit(sample)
+    held = some.join(F.broadcast(chosen), F.col(key).eqNullSafe(F.col("k")) & (own == F.col("h")), "left_semi")
+    rows = held.select(html).distinct().collect()
     words = sorted({w for r in rows for _, text in blocks_of(r[0] or "") for w in text.split()})
     return train(words, **how)
 
 
-def main_text(model: Labeller, pages: list[str | None], batch: int = 64) -> list[str]:
+def main_text(model: Labeller, pages: list[str | None], cells: int = 1 << 15) -> list[str]:
+    """The main text of each page; pages of like length share a batch of at most ``cells`` blocks, padding included."""
     read = [blocks_of(p or "") for p in pages]
     out = [""] * len(pages)
     order = sorted((i for i, b in enumerate(read) if b), key=lambda i: len(read[i]))
-    for lo in range(0, len(order), batch):
-        own = order[lo : lo + batch]
+    while order:
+        own = [order.pop()]
+        longest = len(read[own[0]])
+        while order and (len(own) + 1) * longest <= cells:
+            own.append(order.pop())
         scores = model.scores([[features(path, text) for path, text in read[i]] for i in own])
         for row, i in enumerate(own):
             out[i] = " ".join(text for (_, text), s in zip(read[i], scores[row], strict=False) if s >= 0.5)
+            read[i] = []
     return out
 
 
 def extract(pages: DataFrame, model: Labeller, html: str = "html", into: str = "main_text") -> DataFrame:
     """Add ``into``: the main text of each page's whole html."""
+    if into in pages.columns:
+        raise ValueError(f"the pages have a column {into!r} already")
     schema = pages.select("*", F.lit("").alias(into)).schema
     place = pages.columns.index(html)
     held = pages.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for lo, hi in row_blocks(batch.column(place), _BLOCK):
+                part = batch.slice(lo, hi - lo)
                 found = main_text(held.value, part.column(place).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string())], schema.names)
 
-    return pages.mapInArrow(run, schema)
+    return pages.mapInArrow(lean(run), schema)

@@ -219,6 +219,26 @@ def test_html_reader():
     assert read('<div title="a>b">x</div></p></div>y<ul><li>1<li>2</ul>') == ["x", "y", "1", "2"]
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<head><title>t</title><body><article><p>hello</p>", ["hello"]),
+        ("<html><head><meta charset=x><p>one<p>two", ["one", "two"]),
+        ("<head><title>t<body>x", ["x"]),
+        ("<head>text here", ["text here"]),
+        ("<p>a<svg><g>no<p>b", ["a", "b"]),
+        ("<svg><text>no</text></svg>yes", ["yes"]),
+        ("<select><option>o<p>b", ["b"]),
+        ("<iframe src=x><p>b", ["b"]),
+        ("<noscript>n<p>x", ["n", "x"]),
+        ('<p title="x>a b</p><p>c', ["a b", "c"]),
+        ("<video><p>no</p></video><p>b", ["b"]),
+    ],
+)
+def test_end_tags_that_are_left_out(page, want):
+    assert [t for _, t in html_extract.blocks_of(page)] == want
+
+
 def test_html_query(spark):
     pages = spark.read.parquet(f"{FOLDER}/pages.parquet").collect()
     got = {r["page_id"]: r for r in registry.op4_html_extract(spark, FOLDER).collect()}
@@ -229,6 +249,12 @@ def test_html_query(spark):
         good += got[p["page_id"]]["text"] == " ".join(entities.unescape(body).split())
         assert got[p["page_id"]]["n_chars"] == len(got[p["page_id"]]["text"])
     assert good >= 0.99 * len(pages)
+    # The same pages without article elements; the label then hangs on other names, words and neighbours.
+    renamed = spark.createDataFrame([(p["page_id"], p["html"].replace("<article>", '<div class="post">').replace("</article>", "</div>")) for p in pages], "page_id long, html string")
+    again = {r["page_id"]: r["main_text"] for r in html_extract.extract(renamed, html_extract.learn(renamed)).collect()}
+    assert np.mean([again[i] == r["text"] for i, r in got.items()]) > 0.9
+    long = html_extract.blocks_of("<article>" + "<p>some words here</p>" * 100_000)
+    assert len(long) == 100_000
     model = html_extract.train(["a", "b", "c"], pages=60, epochs=1)
     odd = spark.createDataFrame([(1, None), (2, ""), (2, ""), (3, "<p>" * 500)], "page_id long, html string").withColumn("main", F.lit(1))
     assert {r["main_text"] for r in html_extract.extract(odd, model).collect()} == {""}
