@@ -66,5 +66,7 @@ def all_equal(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]
     ``nulls`` False says that one of the sides is known to have none, as its
     schema may not: then the plain operator gives the same pairs.
     """
+    if not pairs:
+        raise ValueError("a join needs a key; without one every row would meet every other")
     each = [equal(F.col(f"`{x}`"), F.col(f"`{y}`"), nulls and nullable(left, x) and nullable(right, y)) for x, y in pairs]
-    return reduce(lambda a, b: a & b, each, F.lit(True))
+    return reduce(lambda a, b: a & b, each)

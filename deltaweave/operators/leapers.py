@@ -39,8 +39,16 @@ def _frame(relation) -> DataFrame:
 
 class _Keyed(LeaperSpec):
     def __init__(self, relation, key: Key, values: Sequence[str] = ()):
+        if not key:
+            raise ValueError(f"{type(self).__name__} needs a key; without one every row would meet every other")
         self.relation, self.key, self.values = _frame(relation), dict(key), list(values)
 
+    def fan_out(self) -> float:
+        """Rows of the relation for each of its keys, on average; one pass with partial aggregation."""
+        keys = self.relation.select(*[F.col(f"`{c}`") for c in self.key])
+        n, d = keys.agg(F.count(F.lit(1)), F.approx_count_distinct(F.struct(*[F.col(f"`{c}`") for c in self.key]))).first()
+        return n / max(1, d)
+
     def joined(self, df: DataFrame, t: Side, v: Side | None, how: str) -> tuple[DataFrame, DataFrame, Column]:
         names = list(dict.fromkeys([*self.key, *self.values]))
         right = self.relation.select(*[F.col(f"`{c}`").alias(f"x_{c}") for c in names])
@@ -136,9 +144,23 @@ def passthrough() -> Passthrough:
     return Passthrough()
 
 
-def leapjoin(source: DataFrame, leapers: LeaperSpec | Sequence[LeaperSpec], logic=None) -> DataFrame:
+def _cheapest_first(leapers: list[LeaperSpec]) -> list[LeaperSpec]:
+    """The proposers in order of their fan-out, where there are several and they can tell."""
+    own = [k for k, x in enumerate(leapers) if isinstance(x, ExtendWith)]
+    if len(own) < 2:
+        return leapers
+    ranked = sorted((leapers[k] for k in own), key=lambda x: x.fan_out())
+    out = list(leapers)
+    for k, x in zip(own, ranked, strict=True):
+        out[k] = x
+    return out
+
+
+def leapjoin(source: DataFrame, leapers: LeaperSpec | Sequence[LeaperSpec], logic=None, by_fan_out: bool = False) -> DataFrame:
     """``logic(t, v)`` of the rows and values that all leapers accept (as rows; the caller makes them a set).
 
+    With ``by_fan_out`` the extender with the fewest values for a key proposes, whatever
+    its place in the list, which takes a pass over each extender's relation; else the first.
     Without logic the source's columns and the values are returned. A single
     leaper that can't stand alone, or several of which none proposes values, is a
     ``ValueError`` here, before anything runs.
@@ -151,10 +173,18 @@ def leapjoin(source: DataFrame, leapers: LeaperSpec | Sequence[LeaperSpec], logi
     if len(leapers) > 1 and not any(x.proposes for x in leapers):
         raise ValueError("none of the leapers proposes values; add passthrough() for filters alone")
     source = _frame(source)
+    named = next((x.values for x in leapers if isinstance(x, ExtendWith)), [])
+    if by_fan_out:
+        leapers = _cheapest_first(leapers)
     df = source.select(*[F.col(f"`{c}`").alias(f"t_{c}") for c in source.columns])
     t, v = Side(source.columns, "t_"), None
     for leaper in sorted(leapers, key=lambda x: x.stage):
         df, v = leaper.apply(df, t, v)
+        if isinstance(leaper, ExtendWith) and v is not None and v._names != named:
+            # Values go by the names of the first extender that was given, whichever proposes.
+            kept = [c for c in df.columns if not c.startswith("v_")]
+            df = df.select(*[F.col(f"`{c}`") for c in kept], *[v[k].alias(f"v_{n}") for k, n in enumerate(named)])
+            v = Side(named, "v_")
     if logic is None:
         names = [] if v is None else v._names
         logic = lambda t, v: {c: t[c] for c in source.columns} | {c: v[c] for c in names}

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expressions import equal, project
+from ..functions.expressions import Side, equal, project
 from ..sources.scratch import materialize
 from . import joins
-from .leapers import leapjoin
+from .leapers import ExtendAnti, ExtendWith, FilterAnti, FilterWith, Key, leapjoin
 
 
 class Relation:
@@ -65,6 +65,33 @@ class Relation:
     def is_empty(self) -> bool:
         return self.df.isEmpty()
 
+    def first(self) -> Row | None:
+        """The smallest row, nulls first; None of an empty relation."""
+        rows = self.df.orderBy(*[F.asc_nulls_first(f"`{c}`") for c in self.df.columns]).head(1)
+        return rows[0] if rows else None
+
+    def __iter__(self):
+        """Rows ascending, brought to the driver a partition at a time."""
+        return self.df.orderBy(*[F.asc_nulls_first(f"`{c}`") for c in self.df.columns]).toLocalIterator()
+
+    def filter(self, test) -> Relation:
+        """The rows for which ``test(row)``, a condition over a ``Side``, holds."""
+        return Relation(self.df.where(test(Side(self.df.columns))), distinct=False)
+
+    # Leapers over this relation.
+
+    def extend_with(self, key: Key, values: Sequence[str]) -> ExtendWith:
+        return ExtendWith(self, key, values)
+
+    def extend_anti(self, key: Key, values: Sequence[str]) -> ExtendAnti:
+        return ExtendAnti(self, key, values)
+
+    def filter_with(self, key: Key) -> FilterWith:
+        return FilterWith(self, key)
+
+    def filter_anti(self, key: Key) -> FilterAnti:
+        return FilterAnti(self, key)
+
     def contains(self, *values) -> bool:
         same = [equal(F.col(f"`{c}`"), F.lit(v), True) for c, v in zip(self.df.columns, values, strict=True)]
         return not self.df.where(_all(same)).isEmpty()

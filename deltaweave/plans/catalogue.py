@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import io
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.leapers import ExtendAnti, ExtendWith, FilterAnti, FilterWith, PrefixFilter, ValueFilter, leapjoin, passthrough
+from ..functions.expressions import Side
+from ..operators.leapers import ExtendAnti, ExtendWith, FilterAnti, FilterWith, LeaperSpec, PrefixFilter, ValueFilter, leapjoin, passthrough
 from ..operators.relation import Relation
-from ..sources.facts import order_chains, part_tree, table, user_edges
+from ..sources.facts import order_chains, part_tree, table, text_facts, user_edges
+from ..sources.scratch import scratch_root
 from . import programs
 from .fixpoint import Iteration
 
@@ -78,16 +81,16 @@ def leap_triangle(spark, d):
     return leapjoin(e, both, lambda t, v: {"a": t.a, "b": t.b, "c": v[0]})
 
 
-@query(f"with e as ({UE}) select distinct x.a, x.b, y.b as c from e x join e y on x.b = y.a where x.a < 20 and not exists (select 1 from e z where z.a = x.a and z.b = y.b)")
+@query(f"with e as ({UE}) select distinct x.a, x.b, y.b as c from e x join e y on x.b = y.a where x.a < x.b and not exists (select 1 from e z where z.a = x.a and z.b = y.b)")
 def leap_extend_anti(spark, d):
     e = user_edges(spark, d)
-    leapers = [PrefixFilter(lambda t: t.a < 20), ExtendWith(e, {"a": "b"}, ["b"]), ExtendAnti(e, {"a": "a"}, ["b"])]
+    leapers = [PrefixFilter(lambda t: t.a < t.b), ExtendWith(e, {"a": "b"}, ["b"]), ExtendAnti(e, {"a": "a"}, ["b"])]
     return leapjoin(e, leapers, lambda t, v: {"a": t.a, "b": t.b, "c": v[0]})
 
 
 @query(f"with e as ({UE}) select distinct x.a, x.b, y.b as c from e x join e y on x.b = y.a where not exists (select 1 from e z where z.a = x.a and z.b = y.b)")
 def leap_extend_anti_all(spark, d):
-    """``leap_extend_anti`` over all users."""
+    """``leap_extend_anti`` without its prefix filter."""
     e = user_edges(spark, d)
     leapers = [ExtendWith(e, {"a": "b"}, ["b"]), ExtendAnti(e, {"a": "a"}, ["b"])]
     return leapjoin(e, leapers, lambda t, v: {"a": t.a, "b": t.b, "c": v[0]})
@@ -110,16 +113,16 @@ def leap_prefix(spark, d):
     return leapjoin(user_edges(spark, d), PrefixFilter(lambda t: t.a < t.b))
 
 
-@query(f"with e as ({UE}) select distinct x.a, y.b as c from e x join e y on x.b = y.a where x.a < 20 and x.a < y.b")
+@query(f"with e as ({UE}) select distinct x.a, y.b as c from e x join e y on x.b = y.a where x.a < x.b and x.a < y.b")
 def leap_value(spark, d):
     e = user_edges(spark, d)
-    leapers = [PrefixFilter(lambda t: t.a < 20), ExtendWith(e, {"a": "b"}, ["b"]), ValueFilter(lambda t, v: t.a < v[0])]
+    leapers = [PrefixFilter(lambda t: t.a < t.b), ExtendWith(e, {"a": "b"}, ["b"]), ValueFilter(lambda t, v: t.a < v[0])]
     return Relation(leapjoin(e, leapers, lambda t, v: {"a": t.a, "c": v[0]})).df
 
 
 @query(f"with e as ({UE}) select distinct x.a, y.b as c from e x join e y on x.b = y.a where x.a < y.b")
 def leap_value_all(spark, d):
-    """``leap_value`` over all users."""
+    """``leap_value`` without its prefix filter."""
     e = user_edges(spark, d)
     leapers = [ExtendWith(e, {"a": "b"}, ["b"]), ValueFilter(lambda t, v: t.a < v[0])]
     return Relation(leapjoin(e, leapers, lambda t, v: {"a": t.a, "c": v[0]})).df
@@ -209,18 +212,24 @@ def reach_cyclic(spark, d):
     return programs.reachable(spark, spark.range(1).select(F.col("id").alias("a")), user_edges(spark, d, "purchase"))
 
 
+_SUPPLY = "select s_suppkey + 1000 as a, s_nationkey + 100 as b from supplier union all select n_nationkey + 100, n_regionkey from nation"
+
+
 @query(
-    f"with recursive e as (select a, b from ({PT}) where a < 256), r as (select x.a, y.a as b from e x join e y on x.b = y.b "
-    "union select x.a, y.a from r join e x on r.a = x.b join e y on r.b = y.b) select a, b from r"
+    f"with recursive e as ({_SUPPLY}), r as (select x.a, y.a as b from e x join e y on x.b = y.b "
+    "union select x.a, y.a from r join e x on r.a = x.b join e y on r.b = y.b) select cast(a as bigint) as a, cast(b as bigint) as b from r"
 )
 def same_generation(spark, d):
-    return programs.same_generation(spark, part_tree(spark, d).where("a < 256"))
+    """Suppliers, and nations, of one region, by the tree of suppliers, nations and regions."""
+    up = lambda t, a, b: table(spark, d, t).selectExpr(f"cast({a} as long) as a", f"cast({b} as long) as b")
+    tree = up("supplier", "s_suppkey + 1000", "s_nationkey + 100").union(up("nation", "n_nationkey + 100", "n_regionkey"))
+    return programs.same_generation(spark, tree)
 
 
 # No SQL: the pairs grow with the square of the parts, which DuckDB's recursion doesn't bear on the larger tables.
 @query(None)
 def same_generation_all(spark, d):
-    """``same_generation`` over all parts."""
+    """Parts of one generation of the tree of parts."""
     return programs.same_generation(spark, part_tree(spark, d))
 
 
@@ -318,24 +327,22 @@ def indistinct_temp(spark, d):
 
 
 @query(
-    f"with e as ({UE}) select distinct x.a, x.b, y.b as c from e x join e y on x.b = y.a where x.a < 20 and x.a < x.b and y.b > x.b "
+    f"with e as ({UE}) select distinct x.a, x.b, y.b as c from e x join e y on x.b = y.a where x.a < x.b and y.b > x.b "
     "and exists (select 1 from e z where z.a = x.a and z.b = y.b) and not (y.b % 2 = 0 and exists (select 1 from e z where z.a = y.b and z.b = x.a)) "
     "and exists (select 1 from e z where z.a = x.b and z.b = x.a) and not exists (select 1 from e z where z.a = x.a + 1 and z.b = x.b)"
 )
 def leap_seven(spark, d):
-    e = user_edges(spark, d)
-    return _seven(e.where("a < 20"), e)
+    return _seven(user_edges(spark, d))
 
 
-@query(SQL["leap_seven"].replace("where x.a < 20 and", "where"))
+@query(SQL["leap_seven"])
 def leap_seven_all(spark, d):
-    """``leap_seven`` over all users."""
-    e = user_edges(spark, d)
-    return _seven(e, e)
+    """``leap_seven``, its proposer chosen by fan-out."""
+    return _seven(user_edges(spark, d), by_fan_out=True)
 
 
-def _seven(source: DataFrame, e: DataFrame) -> DataFrame:
-    """Rows of ``source`` through seven leapers over ``e``."""
+def _seven(e: DataFrame, **how) -> DataFrame:
+    """Edges through seven leapers over themselves."""
     even = e.where("a % 2 = 0").select(F.col("b").alias("k"), F.col("a").alias("v"))
     leapers = [
         ExtendWith(e, {"a": "b"}, ["b"]),
@@ -346,10 +353,15 @@ def _seven(source: DataFrame, e: DataFrame) -> DataFrame:
         PrefixFilter(lambda t: t.a < t.b),
         ValueFilter(lambda t, v: v[0] > t.b),
     ]
-    return leapjoin(source, leapers, lambda t, v: {"a": t.a, "b": t.b, "c": v[0]})
+    return leapjoin(e, leapers, lambda t, v: {"a": t.a, "b": t.b, "c": v[0]}, **how)
 
 
-@query(None)
+@query(
+    f"with recursive e as ({PT}), r as (select a, b, 1 as d from e union all select r.a, e.b, d + 1 from r join e on r.b = e.a), "
+    "n as (select d, count(*) as c from r group by d union all select max(d) + 1, 0 from r) "
+    "select 'paths' as variable, cast(d as bigint) as round, cast(coalesce(sum(c) over (order by d rows between unbounded preceding and 1 preceding), 0) as bigint) as stable, "
+    "cast(c as bigint) as recent from n"
+)
 def stats_trace(spark, d):
     """The rounds of the part tree's closure, from the recorded statistics."""
     out = io.StringIO()
@@ -363,6 +375,99 @@ def stats_trace(spark, d):
     return spark.createDataFrame([(n.strip('"'), int(r), int(s), int(x)) for n, r, s, x in rows], "variable string, round long, stable long, recent long")
 
 
+# Facts from rows, and what a relation can be asked.
+
+_ROWS = [(1, 2), (2, 3), (2, 3), (3, 1), (5, None)]
+_VALUES = "select cast(a as bigint) as a, cast(b as bigint) as b from (values (1, 2), (2, 3), (2, 3), (3, 1), (5, null)) t(a, b)"
+
+
+@query(f"select distinct a, b from ({_VALUES})")
+def rel_from_rows(spark, d):
+    return Relation.from_rows(spark, _ROWS, "a long, b long").df
+
+
+@query(f"with recursive e as ({_VALUES}), r as (select a, b from e union select r.a, e.b from r join e on r.b = e.a) select a, b from r")
+def var_extend(spark, d):
+    """The closure of rows that a variable is extended with, in two parts."""
+    it = Iteration(spark)
+    paths, edges = it.variable("paths"), it.variable("edges")
+    for part in (_ROWS[:2], [], _ROWS[2:]):
+        paths.extend(part, "a long, b long")
+        edges.extend(part, "a long, b long")
+    it.fixpoint(lambda: paths.from_join(paths, edges, [("b", "a")], lambda l, r: {"a": l.a, "b": r.b}))
+    return paths.complete().df
+
+
+@query(f"select a, b from ({PT}) where b % 2 = 0")
+def rel_filter(spark, d):
+    return Relation(part_tree(spark, d)).filter(lambda t: t.b % 2 == 0).df
+
+
+@query(f"select * from (select 'first' as what, a, b from ({PT}) order by a, b limit 1) union all select 'count', count(*), count(distinct b) from ({PT}) union all select 'has', 1, 0")
+def rel_slices(spark, d):
+    """The smallest row, counts, and which of two rows are there."""
+    r = Relation(part_tree(spark, d))
+    smallest = r.first()
+    values = Relation.from_map(r, lambda t: {"b": t.b})
+    rows = [("first", smallest["a"], smallest["b"]), ("count", r.count(), values.count()), ("has", int(r.contains(6, 3)), int(r.contains(3, 6)))]
+    return spark.createDataFrame(rows, "what string, a long, b long")
+
+
+@query("select true as same, false as other")
+def rel_equality(spark, d):
+    edges = part_tree(spark, d)
+    r = Relation(edges)
+    turned = Relation(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return spark.createDataFrame([(r.equals(Relation(edges.union(edges))), r.equals(turned))], "same boolean, other boolean")
+
+
+@query(f"with e as ({UE}) select distinct x.a, y.b as c from e x join e y on x.b = y.a join e z on z.a = x.a and z.b = y.b where not exists (select 1 from e w where w.a = y.b and w.b = x.a)")
+def rel_from_leapjoin(spark, d):
+    """Leapers as methods of a relation."""
+    e = Relation(user_edges(spark, d), distinct=False)
+    turned = Relation(e.df.select(F.col("b").alias("k"), F.col("a").alias("v")), distinct=False)
+    leapers = [e.extend_with({"a": "b"}, ["b"]), e.extend_with({"a": "a"}, ["b"]), turned.extend_anti({"k": "a"}, ["v"])]
+    return Relation.from_leapjoin(e, leapers, lambda t, v: {"a": t.a, "c": v[0]}).df
+
+
+class Steps(LeaperSpec):
+    """A leaper of one's own: proposes the numbers below ``n``."""
+
+    stage, proposes = 3, True
+
+    def __init__(self, n: int):
+        self.n = n
+
+    def apply(self, df, t, v):
+        return df.withColumn("v_step", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(self.n - 1).cast("long")))), Side(["step"], "v_")
+
+
+@query(f"select a, b, i as step from ({PT}), range(3) t(i) where (a + i) % 5 = 0")
+def leap_own(spark, d):
+    return leapjoin(part_tree(spark, d), [Steps(3), ValueFilter(lambda t, v: (t.a + v.step) % 5 == 0)])
+
+
+_NODES = "select cast(n_nationkey as bigint) as a, cast(n_regionkey as bigint) as b from nation"
+
+
+@query(f"with recursive e as ({_PURCHASE}), r as ({_NODES} union select e.b, r.b from r join e on r.a = e.a) select a, b from r")
+def dataflow(spark, d):
+    nodes = table(spark, d, "nation").selectExpr("cast(n_nationkey as long) as a", "cast(n_regionkey as long) as b")
+    return programs.dataflow(spark, nodes, user_edges(spark, d, "purchase"))
+
+
+@query(SQL["dataflow"])
+def text_dataflow(spark, d):
+    """``dataflow`` over facts that were written as lines of text."""
+    path = f"{scratch_root(spark)}/deltaweave/{uuid.uuid4().hex}"
+    nodes = table(spark, d, "nation").select(F.concat_ws("\t", F.lit(" "), "n_regionkey", "n_nationkey", F.lit("n")).alias("value"))
+    edges = user_edges(spark, d, "purchase").select(F.concat_ws(" ", "a", "b", F.lit("e"), F.lit("more")).alias("value"))
+    notes = spark.createDataFrame([("# a comment",), ("",), (" \t",)], "value string")
+    nodes.union(edges).union(notes).write.text(path)
+    n, e = text_facts(spark, path)
+    return programs.dataflow(spark, n.df, e.df)
+
+
 def queries() -> dict:
     return dict(Q)
 

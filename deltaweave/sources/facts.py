@@ -18,8 +18,9 @@ def text_facts(spark: SparkSession, path: str) -> tuple[Relation, Relation]:
     Type ``n`` gives the node (dst, src), ``e`` the edge (src, dst); further words
     are ignored. Another type, or a number that isn't one, fails the job that reads it.
     """
-    lines = spark.read.text(path).where(~F.col("value").startswith("#") & (F.trim("value") != ""))
-    words = lines.select(F.split(F.trim("value"), r"\s+").alias("w"))
+    line = F.regexp_replace("value", r"^\s+|\s+$", "")
+    lines = spark.read.text(path).where(~F.col("value").startswith("#") & (line != ""))
+    words = lines.select(F.split(line, r"\s+").alias("w"))
     rows = words.select(F.col("w")[0].cast("long").alias("src"), F.col("w")[1].cast("long").alias("dst"), F.get("w", F.lit(2)).alias("kind"))
     known = F.when(F.col("kind").isin("n", "e"), F.col("kind")).otherwise(F.raise_error(F.concat(F.lit("unknown type: "), F.coalesce("kind", F.lit("none")))))
     rows = rows.withColumn("kind", known)

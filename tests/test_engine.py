@@ -121,6 +121,26 @@ def test_formulations_agree(spark, seed):
     assert rows(Relation(e).merge(Relation(o)).df) == sorted(set(pairs) | set(other))
 
 
+@pytest.mark.parametrize("large", [1, 60, 10**9])
+def test_bucketed_batches_and_unwritten_steps(spark, monkeypatch, large):
+    from deltaweave.plans import fixpoint
+
+    monkeypatch.setattr(fixpoint, "_LARGE", large)
+    pairs = [(a, a // 2) for a in range(1, 64)] + [(None, 63), (1, None)]
+    it = Iteration(spark)
+    paths, turned, again = it.variable("paths"), it.variable_indistinct("turned"), it.variable_indistinct("again")
+    paths.extend(pairs, AB)
+
+    def rules():
+        turned.from_map(paths, lambda t: {"b": t.b, "a": t.a})
+        again.from_map(turned, lambda t: {"b": t.b, "a": t.a})
+        paths.from_join(again, edges_of(spark, pairs), [("b", "a")], lambda l, r: {"a": l.a, "b": r.b})
+
+    it.fixpoint(rules)
+    got = {tuple(r) for r in paths.complete().df.collect()}
+    assert got == closure_of(set(pairs)) and turned.num_stable() > 0 and turned.num_recent() == 0
+
+
 def test_nulls_reach_the_fixpoint(spark):
     it, out = Iteration(spark), io.StringIO()
     it.record_stats_to(out)
@@ -135,6 +155,19 @@ def test_nulls_reach_the_fixpoint(spark):
     assert left.contains(None, 1) and not left.contains(None, 2)
 
 
+def test_proposer_by_fan_out(spark):
+    source = spark.createDataFrame([(1, 7)], "s long, k long")
+    wide = Relation(spark.createDataFrame([(1, v) for v in range(50)], "k long, w long"))
+    slim = Relation(spark.createDataFrame([(7, 3), (7, 99)], "k long, n long"))
+    leapers = [wide.extend_with({"k": "s"}, ["w"]), slim.extend_with({"k": "k"}, ["n"])]
+    for how in (False, True):
+        df = leapjoin(source, leapers, lambda t, v: {"k": t.k, "w": v.w}, by_fan_out=how)
+        assert rows(df) == [(7, 3)]
+    assert leapers[0].fan_out() == 50 and leapers[1].fan_out() == 2
+    assert list(wide)[0]["w"] == 0 and wide.first()["w"] == 0 and wide.filter(lambda t: t.w > 47).count() == 2
+    assert Relation.from_rows(spark, [], AB).first() is None
+
+
 def test_relation_is_a_set(spark):
     r = Relation.from_rows(spark, [(2, 1), (1, 1), (2, 1)], AB)
     assert r.count() == 2 and [tuple(x) for x in r.collect_sorted()] == [(1, 1), (2, 1)]
@@ -153,6 +186,7 @@ def test_resume_and_states(spark):
         v.complete()
     it.fixpoint(body)
     v.extend([], AB)
+    v.insert(spark.createDataFrame([], AB))
     assert v.is_stable()
     v.extend([(x + 1, x) for x in range(10)], AB)
     it.fixpoint(body)
@@ -178,6 +212,9 @@ def test_errors(spark):
             leapjoin(e, alone)
     with pytest.raises(ValueError):
         leapjoin(e, [FilterWith(e, {"a": "a"}), PrefixFilter(lambda t: t.a > 0)])
+    for keyless in (lambda: ExtendWith(e, {}, ["b"]), lambda: Relation.from_join(Relation(e), Relation(e), [], lambda l, r: {"a": l.a})):
+        with pytest.raises(ValueError):
+            keyless()
     v = Iteration(spark).variable("v")
     v.insert(e)
     with pytest.raises(TypeError):
@@ -188,7 +225,7 @@ def test_errors(spark):
 
 def test_text_facts_and_dataflow(spark, tmp_path):
     path = tmp_path / "facts.txt"
-    path.write_text("# c\n\n1 2 n\n2 3 e extra\n3 4 e\n")
+    path.write_text("# c\n\n \t\n\t1\t2 n\n2 3 e extra\n3 4\te\t\n")
     nodes, edges = text_facts(spark, str(path))
     assert rows(nodes.df) == [(2, 1)] and rows(edges.df) == [(2, 3), (3, 4)]
     assert rows(programs.dataflow(spark, nodes.df, edges.df)) == [(2, 1), (3, 1), (4, 1)]

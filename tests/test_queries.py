@@ -31,7 +31,7 @@ def test_query(spark, duck, name):
 
 
 def test_whole_tables(spark, tmp_path):
-    """Ids above the bounds of the queries that have one: 256 for parts, 20 for users."""
+    """Whole tables of more than a few ids, against brute force."""
     spark.range(300).select(F.col("id").alias("p_partkey")).write.parquet(str(tmp_path / "part.parquet"))
     got = [tuple(r) for r in catalogue.queries()["same_generation_all"](spark, str(tmp_path)).select("a", "b").collect()]
     assert sorted(got) == [(a, b) for a in range(1, 300) for b in range(1, 300) if a.bit_length() == b.bit_length()]
