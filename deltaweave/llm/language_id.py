@@ -1,13 +1,12 @@
 """Operator 3: language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads a text word by word (white space bounds a sequence, longer
-words are cut into sequences of ``_LONGEST`` bytes), byte by byte in both
-directions, and gives every byte a probability for each language. A document's
-probabilities are the mean over all its bytes. As a word's labels depend on its
-bytes alone, each different word goes through the network once in a block and
-is remembered by its hash, so a text costs what its new words cost.
-
-It is trained in numpy by backpropagation through time on the words of a bounded
+The network reads a whole text in lower case, byte by byte in both directions and
+across its words, and gives every byte a probability for each language. A document's
+probabilities are the mean over all its bytes. A text is read in pieces of ``_CORE``
+bytes, each with ``_AROUND`` more of the text before and after it, so that every byte
+is labelled once, and by a state that has read at least so much on both sides.
+
+It is trained in numpy by backpropagation through time on stretches of a bounded
 sample of labelled rows: ``sample`` rows of every language, the first by a hash of
 the key, each its first ``sample_chars`` characters, or fewer where there are so many
 languages that all pieces would exceed ``all_chars``. The steps of training and the
@@ -20,22 +19,21 @@ table gives no rows. Extra columns don't matter; only text decides.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import recurrent as rnn
 from . import textual
-from .shared import discard, lean, materialize, remembered, row_blocks
+from .shared import discard, lean, materialize, row_blocks
 
-_LONGEST = 32
+_CORE, _AROUND = 240, 16
 _BLOCK = 4 << 20
-_WORDS = 4096
 
 
 @dataclass
@@ -43,23 +41,31 @@ class Model:
     languages: list[str]
     params: rnn.Params
 
-    def label(self, body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """For each byte span, the sum over its bytes of their probabilities of the languages."""
-        p = self.params
-        table = [(p["embed"] @ p[w] + p[b]).astype(np.float32) for w, b in (("wf", "bf"), ("wb", "bb"))]
-        out = np.zeros((len(starts), len(self.languages)), np.float32)
-        sizes = ends - starts
-        order = np.argsort(sizes, kind="stable")
-        size = max(64, _WORDS * 16 // max(16, len(self.languages)))
-        for lo in range(0, len(order), size):
-            own = order[lo : lo + size]
-            x, mask, turn = padded(body, starts[own], sizes[own])
-            f = rnn.gru_forward(table[0][x], mask, p["uf"])
-            back = rnn.gru_forward(table[1][np.take_along_axis(x, turn, 1)], mask, p["ub"])
-            back = np.take_along_axis(back, turn[:, :, None], 1)
-            probability = rnn.softmax(f @ p["of"] + back @ p["ob"] + p["o"])
-            out[own] = (probability * mask[:, :, None]).sum(1)
-        return out
+    def label(self, body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """For each text of a block, the sum over its bytes of their probabilities of the languages."""
+        p, n = self.params, len(self.languages)
+        sides = [(p["embed"] @ p["w" + x] + p["b" + x], p["u" + x], p["o" + x]) for x in "fb"]
+        pieces = -(-np.diff(offsets) // _CORE)
+        text = np.repeat(np.arange(len(pieces)), pieces)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        lo = offsets[text] + nth * _CORE
+        hi = np.minimum(lo + _CORE, offsets[text + 1])
+        first, last = np.maximum(lo - _AROUND, offsets[text]), np.minimum(hi + _AROUND, offsets[text + 1])
+        out = np.zeros((len(text), n), np.float32)
+        order = np.argsort(last - first, kind="stable")
+        size = max(128, min(1024, (1 << 14) // n))
+        for at in range(0, len(order), size):
+            own = order[at : at + size]
+            place = first[own] + np.arange(int((last - first)[own].max()))[:, None]
+            inside = place < last[own]
+            x = body[np.minimum(place, len(body) - 1)].astype(np.intp)
+            scores = p["o"][:, None] + sum(rnn.gru_scores(x, inside, *side, k == 1) for k, side in enumerate(sides))
+            scores -= scores.max(1, keepdims=True)
+            np.exp(scores, out=scores)
+            core = (place >= lo[own]) & (place < hi[own])
+            scores *= (core / scores.sum(1))[:, None, :]
+            out[own] = scores.sum(0).T
+        return np.stack([np.bincount(text, out[:, j], len(pieces)) for j in range(n)], 1)
 
 
 def padded(body: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
@@ -70,30 +76,26 @@ def padded(body: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
     return x, mask, rnn.reversal(sizes, steps)
 
 
-def sequences(column: pa.Array) -> tuple[textual.Words, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of texts in lower case, cut to at most ``_LONGEST`` bytes: (words, starts, ends, text)."""
-    words = textual.words_of(column, textual.WHITE, lower=True)
-    pieces = np.maximum(1, -(-(words.ends - words.starts) // _LONGEST))
-    owner = np.repeat(np.arange(len(pieces)), pieces)
-    nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    starts = words.starts[owner] + nth * _LONGEST
-    return words, starts, np.minimum(starts + _LONGEST, words.ends[owner]), words.owner()[owner]
+def lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of texts in lower case (null: empty) and the offsets of the texts."""
+    return textual.buffer_of(pc.utf8_lower(column))
 
 
-def train(texts: list[str], languages: list[str], hidden: int | None = None, width: int = 16, steps: int = 300, batch: int = 256, rate: float = 0.01, seed: int = 1) -> Model | None:
-    """Fit on the words of labelled texts; a word counts once for each text's language and time it occurs.
+def train(texts: list[str], languages: list[str], hidden: int | None = None, width: int = 16, steps: int = 300, batch: int = 96, length: int = 48, rate: float = 0.01, seed: int = 1) -> Model | None:
+    """Fit on stretches of ``length`` bytes of labelled texts, from anywhere in them; all bytes of a language are alike.
 
     ``steps`` is for four languages and grows in proportion.
     """
     names = sorted(set(languages))
-    words, starts, ends, owner = sequences(pa.array(texts, pa.string()))
-    if not names or not len(starts):
+    body, offsets = lowered(pa.array(texts, pa.string()))
+    if not names or not len(body):
         return None
     number = {x: i for i, x in enumerate(names)}
-    target = np.array([number[x] for x in languages])[owner]
+    target = np.array([number[x] for x in languages])
+    held = np.diff(offsets)
     steps = -(-steps * max(4, len(names)) // 4)
     rng = np.random.default_rng(seed)
-    k, n = hidden or min(64, max(16, len(names) // 2)), len(names)
+    k, n = hidden or min(64, max(12, len(names) // 2)), len(names)
     normal = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
     p: rnn.Params = {
         "embed": rng.standard_normal((256, width)).astype(np.float32) * 0.5,
@@ -103,11 +105,13 @@ def train(texts: list[str], languages: list[str], hidden: int | None = None, wid
     }
     adam = rnn.Adam(p, rate)
     # Languages weigh alike, whatever their share of the sample.
-    weight = 1 / np.bincount(target, minlength=n)[target]
+    weight = held / np.maximum(1, np.bincount(target, held, n))[target]
     draw = np.cumsum(weight) / weight.sum()
     for step in range(steps):
-        own = np.minimum(np.searchsorted(draw, rng.random(batch)), len(starts) - 1)
-        x, mask, turn = padded(words.body, starts[own], (ends - starts)[own])
+        own = np.minimum(np.searchsorted(draw, rng.random(batch), side="right"), len(held) - 1)
+        own = np.where(held[own] > 0, own, int(np.argmax(held)))
+        start = offsets[own] + (rng.random(batch) * (np.maximum(held[own] - length, 0) + 1)).astype(np.int64)
+        x, mask, turn = padded(body, start, np.minimum(held[own], length))
         xb = np.take_along_axis(x, turn, 1)
         f, saved_f = rnn.gru_forward(p["embed"][x] @ p["wf"] + p["bf"], mask, p["uf"], True)
         raw, saved_b = rnn.gru_forward(p["embed"][xb] @ p["wb"] + p["bb"], mask, p["ub"], True)
@@ -144,57 +148,19 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     return train([x["text"] for x in got], [x["lang"] for x in got], **how)
 
 
-class WordMemory:
-    """Rows of numbers by word hash; bounded: it starts anew when full."""
-
-    def __init__(self, width: int, most: int = 2_000_000):
-        self.width, self.most = width, most
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        out, known = np.zeros((len(keys), self.width), np.float32), np.zeros(len(keys), bool)
-        for have, rows in self.parts:
-            slot = np.minimum(np.searchsorted(have, keys), len(have) - 1)
-            hit = have[slot] == keys
-            out[hit], known[hit] = rows[slot[hit]], True
-        return out, known
-
-    def add(self, keys: np.ndarray, rows: np.ndarray) -> None:
-        """Sorted keys that are not known yet; parts of like size are merged."""
-        if not len(keys):
-            return
-        if sum(len(k) for k, _ in self.parts) + len(keys) > self.most:
-            self.parts = []
-        while self.parts and len(self.parts[-1][0]) <= 2 * len(keys):
-            more, values = self.parts.pop()
-            keys, rows = np.concatenate([more, keys]), np.concatenate([values, rows])
-            order = np.argsort(keys, kind="stable")
-            keys, rows = keys[order], rows[order]
-        self.parts.append((keys, rows))
-
-
 def predict(docs: DataFrame, model: Model | None, text: str = "text", into: str = "language") -> DataFrame:
     """Add the struct ``into``: lang_pred and score."""
     lettered = F.col(text).rlike("\\p{L}") if model else F.lit(False)
     schema = docs.select("*", F.lit(None).cast("array<float>").alias("__share")).schema
     place = docs.columns.index(text)
     held = docs.sparkSession.sparkContext.broadcast(model)
-    stamp = hashlib.sha256(b"".join(v.tobytes() for v in model.params.values())).hexdigest() if model else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = held.value
         n = len(net.languages)
-        memory = remembered(("words", stamp), lambda: WordMemory(n, max(10_000, 8_000_000 // n)))
         for batch in batches:
-            for lo, hi in row_blocks(batch.column(place), max(1 << 16, _BLOCK * 16 // max(16, n))):
-                words, starts, ends, owner = sequences(batch.column(place).slice(lo, hi - lo))
-                keys, first, back = np.unique(textual.span_hashes(words.body, starts, ends), return_index=True, return_inverse=True)
-                rows, known = memory.find(keys)
-                if not known.all():
-                    new = first[~known]
-                    rows[~known] = net.label(words.body, starts[new], ends[new])
-                    memory.add(keys[~known], rows[~known])
-                total = np.stack([np.bincount(owner, rows[back, j], hi - lo) for j in range(n)], 1)
+            for lo, hi in row_blocks(batch.column(place), _BLOCK):
+                total = net.label(*lowered(batch.column(place).slice(lo, hi - lo)))
                 share = (total / np.maximum(total.sum(1, keepdims=True), 1e-9)).astype(np.float32)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * (hi - lo) + 1, n, dtype=np.int32)), pa.array(share.ravel()))
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, lists], schema.names)

@@ -28,6 +28,7 @@ from deltaweave.llm import (
     textual,
     toxicity,
 )
+from deltaweave.llm import recurrent as rnn
 
 FOLDER = "/root/testdata/sf0.001"
 sha = lambda s: hashlib.sha256(s if isinstance(s, bytes) else s.encode()).hexdigest()
@@ -195,6 +196,28 @@ def test_language_held_out(spark, docs, hard, nothing):
     assert {r[0] for r in language_id.predict(hard, None).select("language.lang_pred").collect()} == {"und"}
 
 
+def test_language_states_run_through_whole_texts():
+    """Sums of labels against a plain pass of the network, one text at a time; a word's labels depend on its neighbours."""
+    model = language_id.train(["the cat sat on the mat", "le chat est sur le tapis"] * 3, ["en", "fr"] * 3, steps=20)
+    p = model.params
+
+    def plain(body, lo, hi, first, last):
+        x = body[None, first:last]
+        ones = np.ones(x.shape, np.float32)
+        f = rnn.gru_forward(p["embed"][x] @ p["wf"] + p["bf"], ones, p["uf"])
+        b = rnn.gru_forward(p["embed"][x[:, ::-1]] @ p["wb"] + p["bb"], ones, p["ub"])[:, ::-1]
+        return rnn.softmax(f @ p["of"] + b @ p["ob"] + p["o"])[0, lo - first : hi - first].sum(0)
+
+    texts = ["Le Chat", "", None, "ÉTÉ the mat " * 100, "x", "a b c " * 41]
+    body, offsets = language_id.lowered(pa.array(texts))
+    core, around = language_id._CORE, language_id._AROUND
+    for got, a, b in zip(model.label(body, offsets), offsets[:-1], offsets[1:], strict=True):
+        want = sum((plain(body, i, min(i + core, b), max(i - around, a), min(i + core + around, b)) for i in range(a, b, core)), np.zeros(2))
+        assert np.allclose(got, want, atol=1e-2) and abs(got.sum() - (b - a)) < 1e-2
+    one = lambda t: model.label(*language_id.lowered(pa.array([t])))[0]
+    assert abs(one("le chat") - one("le") - one(" ") - one("chat")).max() > 1e-4
+
+
 def test_every_language_is_learned(spark):
     rng = random.Random(9)
     pairs = [a + b for a in "abcdefghijklm" for b in "nopqrstuvwxyz"][::2][:70]
