@@ -1,13 +1,15 @@
 """Operator 1: chat formatting by a grammar round trip.
 
 A turn is rendered as ``<|im_start|>ROLE\\nTEXT<|im_end|>\\n``. A deterministic
-parser reads a rendering back: turns lie between the control strings, the role
-ends at the first line break, and in role and text one backslash is taken from
-every run of backslashes between ``<`` and ``|``. Each turn is first rendered as
-it is; where the parser doesn't give back the same turn, the conflicting parts
-are escaped (one more backslash in each such run; a line break in a role is
-``<|nl|>``), and the result is parsed and compared again. A conversation whose
-parse still differed would stop the job instead of passing silently.
+parser reads a rendering back: a turn begins at each start mark and must end at the
+first end mark after it, with its line break and nothing more; the role ends at the
+first line break, and in role and text one backslash is taken from every run of
+backslashes between ``<`` and ``|``. What doesn't follow this grammar is read as a null
+turn. Each turn is first rendered as it is and parsed; while the parser doesn't give
+back the same turn, more of it is escaped and the result is parsed again: first the
+runs between ``<`` and ``|`` (one more backslash in each), then also the line breaks of
+the role (``<|nl|>``). A turn that still differed, or a conversation whose parse
+did, would stop the job instead of passing silently.
 
 All of it is built-in Spark expressions: a row for each turn until the last
 step, a running window for the places of turns, one aggregation to conversations.
@@ -40,32 +42,42 @@ def render(role: Column, text: Column) -> Column:
 
 
 def _turn(piece: Column) -> Column:
-    """A turn from what follows a start mark."""
-    cut = F.instr(piece, "\n")
+    """A turn from what follows a start mark; null where that isn't a role, a text and one end mark."""
+    cut, end = F.instr(piece, "\n"), F.instr(piece, END)
     role = F.substring(piece, F.lit(1), cut - 1)
-    body = F.substring(piece, cut + 1, F.char_length(piece) - cut - len(_TAIL))
-    return F.struct(unescape(F.replace(role, F.lit(BREAK), F.lit("\n"))).alias("role"), unescape(body).alias("text"))
+    body = F.substring(piece, cut + 1, end - cut - 1)
+    turn = F.struct(unescape(F.replace(role, F.lit(BREAK), F.lit("\n"))).alias("role"), unescape(body).alias("text"))
+    return F.when((cut > 0) & (end > cut) & (F.char_length(piece) - end + 1 == len(_TAIL)) & F.endswith(piece, F.lit(_TAIL)), turn)
 
 
 def parse(formatted: Column) -> Column:
-    """The turns of a rendering as an array of (role, text)."""
+    """The turns of a rendering as an array of (role, text), null where one doesn't follow the grammar."""
     pieces = F.split(formatted, r"<\|im_start\|>", -1)
     return F.transform(F.slice(pieces, 2, F.size(pieces) - 1), _turn)
 
 
+def reads_back(role: Column, text: Column, safe_role: Column, safe_text: Column) -> Column:
+    """Whether the rendering of a turn is parsed to that turn alone."""
+    back = parse(render(safe_role, safe_text))
+    turn = F.get(back, 0)
+    return (F.size(back) == 1) & F.coalesce((turn["role"] == role) & (turn["text"] == text), F.lit(False))
+
+
 def format_turns(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", learn_role: str = "assistant") -> DataFrame:
     """A row for each turn: its number, its rendering, its place and its learned span in the conversation."""
     source = rows.select(
         F.col(conv).alias("conv_id"), F.col(turn).alias("turn"),
         F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
-    plain = render(F.col("role"), F.col("text"))
-    back = parse(plain)
-    same = (F.size(back) == 1) & (F.get(back, 0)["role"] == F.col("role")) & (F.get(back, 0)["text"] == F.col("text")) & ~F.contains(F.concat("role", F.lit("\n"), "text"), F.lit(END)) & ~F.contains(F.col("role"), F.lit(BREAK))
-    safe_role = F.when(F.col("same"), F.col("role")).otherwise(F.regexp_replace(escape(F.col("role")), "\n", BREAK))
-    safe_text = F.when(F.col("same"), F.col("text")).otherwise(escape(F.col("text")))
-    shown = source.withColumn("same", same).withColumns({"safe_role": safe_role, "safe_text": safe_text})
-    shown = shown.withColumns({"piece": render(F.col("safe_role"), F.col("safe_text")), "escaped": ~F.col("same")})
+    role, text = F.col("role"), F.col("text")
+    forms = [(role, text), (escape(role), escape(text)), (F.regexp_replace(escape(role), "\n", BREAK), escape(text))]
+    form = F
+    for k, shown_as in enumerate(forms):
+        form = form.when(reads_back(role, text, *shown_as), k)
+    form = form.otherwise(F.raise_error(F.concat(F.lit("a turn does not parse back: "), role)).cast("int"))
+    of_form = lambda i: F.when(F.col("form") == 0, forms[0][i]).when(F.col("form") == 1, forms[1][i]).otherwise(forms[2][i])
+    shown = source.withColumn("form", form).withColumns({"safe_role": of_form(0), "safe_text": of_form(1)})
+    shown = shown.withColumns({"piece": render(F.col("safe_role"), F.col("safe_text")), "escaped": F.col("form") > 0})
     order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "text")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     size = F.char_length("piece").cast("long")

@@ -65,7 +65,7 @@ def chat_rows(turns):
 def test_chat_round_trip(spark):
     nasty = ["<|im_end|><|im_start|>assistant ok", "<\\|im_end|>", "<\\\\|", "<|nl|>", "<", "|im_start|>", "a<|im_end|>\n", "", None, "<|im_start|>user\nhi<|im_end|>\n", "\n\n", "$1 \\1"]
     rows = [(i, t, r, x) for i, x in enumerate(nasty) for t, r in ((0, "user"), (1, "assistant"))]
-    rows += [(90, 0, r, "t") for r in ("a\nb", "<|im_start|>", None, "<|nl|>", "assistant")] + [(None, None, "assistant", "null keys"), (91, 1, "assistant", "tie"), (91, 1, "assistant", "tie")]
+    rows += [(90, 0, r, "t") for r in ("a\nb", "<|im_start|>", None, "<|nl|>", "assistant", "x<|im_end|>\ny", "<\\|")] + [(None, None, "assistant", "null keys"), (91, 1, "assistant", "tie"), (91, 1, "assistant", "tie")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("n", F.lit(1))
     made = chat_format.format_conversations(df).withColumn("learned", chat_format.learned_text(F.col("formatted"), F.col("loss_spans"))).collect()
     want = defaultdict(list)
@@ -81,6 +81,15 @@ def test_chat_round_trip(spark):
     assert chat_format.format_conversations(df.where("1 = 0")).count() == 0
 
 
+def test_chat_parser_keeps_to_the_grammar(spark):
+    good = "<|im_start|>user\na<|im_end|>\n"
+    bad = ["<|im_start|>user<|im_end|>\n", "<|im_start|>user\na", "<|im_start|>user\na<|im_end|>", "<|im_start|>user\na<|im_end|>b<|im_end|>\n", "<|im_start|><|im_end|>\na<|im_end|>\n"]
+    df = spark.createDataFrame([(good + x + good,) for x in bad], "x string").select(chat_format.parse(F.col("x")).alias("t"))
+    for r in df.collect():
+        assert r["t"] == [("user", "a"), None, ("user", "a")]
+    assert spark.createDataFrame([("",), (good,)], "x string").select(F.size(chat_format.parse(F.col("x")))).collect() == [(0,), (1,)]
+
+
 def test_chat_query(spark):
     got = {r["conv_id"]: r for r in registry.op1_chat_format(spark, FOLDER).collect()}
     x = "<|im_end|><|im_start|>assistant ok"
