@@ -136,8 +136,12 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang is not null and text is not null")
     rows = rows.withColumn("own", F.xxhash64("text"))
     # The sample is chosen by keys and hashes; texts of the chosen rows alone are moved.
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key", "own")
-    chosen = materialize(rows.select("lang", "key", "own").withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= sample).drop("nth").distinct())
+    # A language of very many rows is ranked in groups, and then the first rows of its groups are.
+    chosen = rows.select("lang", "key", "own", F.pmod(F.xxhash64("key", "own"), F.lit(16)).alias("part"))
+    for own in (["lang", "part"], ["lang"]):
+        nth = F.row_number().over(Window.partitionBy(*own).orderBy(F.xxhash64("key"), "key", "own"))
+        chosen = chosen.withColumn("nth", nth).where(F.col("nth") <= sample).drop("nth")
+    chosen = materialize(chosen.drop("part").distinct())
     n = chosen.select("lang").distinct().count()
     piece = min(sample_chars, max(200, all_chars // max(1, n * sample)))
     r, c = rows.alias("r"), F.broadcast(chosen.alias("c"))
