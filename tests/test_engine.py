@@ -234,6 +234,30 @@ def test_text_facts_and_dataflow(spark, tmp_path):
         text_facts(spark, str(path))[0].df.collect()
 
 
+def generations_of(pairs):
+    out = new = {(a, c) for a, b in pairs for c, d in pairs if b == d}
+    while new:
+        new = {(a, c) for a, b in pairs for c, d in pairs if (b, d) in new} - out
+        out = out | new
+    return out
+
+
+@pytest.mark.parametrize("block", [3, 8192])
+def test_same_generation_by_classes(spark, monkeypatch, block):
+    """Trees, a cycle with tails, and nulls, without a variable; a child of two parents by the fixpoint."""
+    monkeypatch.setattr(programs, "_BLOCK", block)
+    trees = [(n, n // 2) for n in range(1, 40)] + [(100 + n, 99 + n) for n in range(1, 12)] + [(300, 100), (200, 100), (None, 200), (201, None)]
+    cycle = [(n, (n + 1) % 5 + 400) for n in range(400, 405)] + [(410, 400), (411, 410), (412, 411), (413, 403), (414, 413)]
+    two = [(2, 1), (3, 1), (3, 2), (4, 3), (5, 2)]
+    with monkeypatch.context() as m:
+        m.setattr(programs, "Iteration", None)
+        for pairs in (trees, cycle, trees + cycle, [(7, 7)], trees[:1]):
+            assert set(programs.same_generation(spark, edges_of(spark, pairs + pairs[:3])).collect()) == generations_of(pairs)
+            assert programs.same_generation(spark, edges_of(spark, pairs)).count() == len(generations_of(pairs))
+        assert programs.same_generation(spark, spark.createDataFrame([], AB)).count() == 0
+    assert set(programs.same_generation(spark, edges_of(spark, two)).collect()) == generations_of(two)
+
+
 def test_stream_maintenance(spark, tmp_path):
     from deltaweave.streaming.maintain import into
 
