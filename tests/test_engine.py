@@ -18,6 +18,7 @@ from deltaweave import (
     leapjoin,
     passthrough,
 )
+from deltaweave.operators import leapers
 from deltaweave.plans import programs
 from deltaweave.sources.facts import text_facts
 
@@ -168,6 +169,49 @@ def test_proposer_by_fan_out(spark):
     assert Relation.from_rows(spark, [], AB).first() is None
 
 
+def test_proposed_values_are_not_shuffled(spark, monkeypatch, capsys):
+    """The inner join and the checks run in cells: between them and the dealt inputs there is no exchange."""
+    monkeypatch.setattr(leapers, "_SMALL", 0)
+    monkeypatch.setattr(leapers, "_SHARES", 2)
+    rng = random.Random(4)
+    node = lambda: rng.choice([None, *range(12)])
+    pairs = list({(node(), node()) for _ in range(90)})
+    e = edges_of(spark, pairs)
+    turned = e.select(F.col("b").alias("k"), F.col("a").alias("v"))
+    extend, semi, anti = ExtendWith(e, {"a": "b"}, ["b"]), ExtendWith(e, {"a": "a"}, ["b"]), ExtendAnti(turned, {"k": "a"}, ["v"])
+    row = lambda t, v: {"a": t.a, "b": t.b, "c": v[0]}
+    edges = set(pairs)
+    two = [(a, b, c) for a, b in pairs for x, c in pairs if x == b]
+    cases = [
+        ([extend, semi], [r for r in two if (r[0], r[2]) in edges]),
+        ([extend, anti], [r for r in two if (r[2], r[0]) not in edges]),
+        ([extend, semi, anti], [r for r in two if (r[0], r[2]) in edges and (r[2], r[0]) not in edges]),
+        ([PrefixFilter(lambda t: t.a < 6), anti, extend, semi, ExtendAnti(e, {"a": "b"}, ["b"])], []),  # the last has a key of its own
+    ]
+    order = lambda found: sorted(found, key=str)
+    for chosen, want in cases:
+        df = leapjoin(e, chosen, row)
+        capsys.readouterr()
+        df.explain()
+        joins = [line for line in capsys.readouterr().out.splitlines() if "Join" in line or "Exchange" in line]
+        if want:
+            assert all("Join" in line for line in joins[: len(chosen)]) and sum("Exchange" in line for line in joins) == len(chosen) + 1
+        assert order(tuple(r) for r in df.collect()) == order(want)
+    # The fan-out's choice, values under two names, several values, a key of two columns, repeated rows, types that differ.
+    assert order(tuple(r) for r in leapjoin(e, [semi, extend], row, by_fan_out=True).collect()) == order(cases[0][1])
+    wide = e.select("a", "b", (F.col("a") + 1).alias("c"), F.col("b").alias("d"))
+    narrow = turned.select(F.col("k").cast("int").alias("k"), "v")
+    for small in (turned, narrow):
+        got = leapjoin(e.union(e.limit(0)), [extend, ExtendAnti(small, {"k": "a"}, ["v"])], row)
+        assert order(tuple(r) for r in got.collect()) == order(cases[1][1])
+    both = [ExtendWith(wide, {"a": "b"}, ["c", "d"]), ExtendWith(wide, {"b": "b", "a": "a"}, ["c", "d"])]
+    facts = {(a, b, None if a is None else a + 1, b) for a, b in pairs}
+    want = [(a, b, c, d) for a, b in pairs for x, _, c, d in facts if x == b and (a, b, c, d) in facts]
+    assert order(tuple(r) for r in leapjoin(e, both, lambda t, v: {"a": t.a, "b": t.b, "c": v[0], "d": v[1]}).collect()) == order(want)
+    twice = leapjoin(e.union(e), [extend, semi], row)
+    assert order(tuple(r) for r in twice.collect()) == order(2 * cases[0][1])
+
+
 def test_relation_is_a_set(spark):
     r = Relation.from_rows(spark, [(2, 1), (1, 1), (2, 1)], AB)
     assert r.count() == 2 and [tuple(x) for x in r.collect_sorted()] == [(1, 1), (2, 1)]
