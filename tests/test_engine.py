@@ -19,7 +19,7 @@ from deltaweave import (
     passthrough,
 )
 from deltaweave.operators import leapers
-from deltaweave.plans import programs
+from deltaweave.plans import catalogue, programs
 from deltaweave.sources.facts import text_facts
 
 AB = "a long, b long"
@@ -237,6 +237,19 @@ def test_resume_and_states(spark):
     assert v.complete().count() == 121 and v.num_stable() == 0
 
 
+def test_resumed_closure_takes_few_rounds(spark, monkeypatch, tmp_path):
+    """Four edges a round: the tree of parts of depth 12 by single edges takes 12 rounds and more after each half."""
+    rounds, changed = [], Iteration.changed
+    monkeypatch.setattr(Iteration, "changed", lambda it: rounds.append(1) or changed(it))
+    spark.range(2, 4100).select(F.col("id").alias("p_partkey")).write.parquet(str(tmp_path / "part.parquet"))
+    got = catalogue.queries()["resume_insert"](spark, str(tmp_path))
+    assert len(rounds) <= 16
+    assert set(map(tuple, got.collect())) == {(a, a >> k) for a in range(2, 4100) for k in range(1, a.bit_length() + 1) if (a >> (k - 1)) > 1}
+    pairs = [(n, n + 1) for n in range(11)] + [(11, 3), (5, 5), (20, None), (None, 0)]
+    closed = programs.closure_resumed(spark, [edges_of(spark, pairs[k::3]) for k in range(3)])
+    assert set(map(tuple, closed.collect())) == closure_of(pairs) and closed.count() == len(closure_of(pairs))
+
+
 def test_indistinct_repeats_but_completes_as_a_set(spark):
     it = Iteration(spark)
     v = it.variable_indistinct("v")
