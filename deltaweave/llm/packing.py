@@ -21,9 +21,12 @@ besides the key and text are not carried.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +47,8 @@ _PLAIN = np.zeros(256, bool)
 for _low, _high in ((0x30, 0x39), (0x61, 0x7A)):
     _PLAIN[_low : _high + 1] = True
 _MARK = textual.delimiters((0x00, 0x20), (0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x7F, 0xFF))
+#: Words of letters that are in lower case and that NFC leaves as they are: one unit of the tokenizer's model.
+_LETTERS = re.compile("[a-zß-öø-ÿа-џ一-龥]+").fullmatch
 
 
 class WordTokenizer:
@@ -51,17 +56,22 @@ class WordTokenizer:
 
     The tokenizer drops white space before it splits, so the ids of a text are
     those of its words in order. Every different word, in lower case and without the
-    marks that end it, goes through the library once; words are told apart by their bytes. What is remembered is bounded: at ``_KEEP`` words
+    marks that end it, goes through the library once; words are told apart by their bytes. Words of plain letters skip the
+    library's normalizer and its splitting, which would leave them as they are. What is remembered is bounded: at ``_KEEP`` words
     the memory starts anew, which costs time only.
     """
 
     _KEEP = 800_000
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        # A task has one core; the library's threads would only wait for each other.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        self.plain = Tokenizer(self.library.model)
+        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.reset()
 
     def reset(self) -> None:
@@ -69,11 +79,15 @@ class WordTokenizer:
         self.bounds, self.pool = np.zeros(1, np.int64), np.zeros(0, np.uint16)
 
     def _learn(self, words: list[bytes]) -> None:
-        ids = [e.ids for e in self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
-        self.pool = np.concatenate([self.pool, np.fromiter((i for x in ids for i in x), np.uint16, int(sizes.sum()))])
+        texts = [w.decode() for w in words]
+        letters = [_LETTERS(x) is not None for x in texts]
+        for library, kind in ((self.plain, True), (self.library, False)):
+            some = [k for k, x in enumerate(letters) if x is kind]
+            ids = [e.ids for e in library.encode_batch_fast([texts[k] for k in some], add_special_tokens=False)]
+            self.known.update(zip([words[k] for k in some], range(len(self.known), len(self.known) + len(some)), strict=True))
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
+            self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), np.uint16, int(sizes.sum()))])
 
     @staticmethod
     def _units(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -108,7 +122,7 @@ class WordTokenizer:
         if unknown:
             self._learn(unknown)
         number = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
-        at, sizes = self.bounds[number][which], np.diff(self.bounds)[number][which]
+        at, sizes = self.bounds[number][which], (self.bounds[number + 1] - self.bounds[number])[which]
         stops = np.cumsum(sizes)
         ids = self.pool[np.repeat(at - (stops - sizes), sizes) + np.arange(int(sizes.sum()))]
         return ids, np.concatenate([[0], stops])[bounds]
@@ -124,8 +138,10 @@ def tokenize(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text"
         for batch in batches:
             for lo, hi in row_blocks(batch.column(1), _BLOCK):
                 ids, bounds = tokenizer.encode(batch.column(1).slice(lo, hi - lo))
-                out = [np.append(ids[a:b], np.uint16(end_id)).astype("<u2").tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(bounds) + 1), pa.array(out, pa.binary())], ["key", "n", "ids"])
+                ended = np.insert(ids, bounds[1:], np.uint16(end_id)).astype("<u2")
+                stops = (bounds + np.arange(len(bounds))) * 2
+                out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(stops), pa.py_buffer(ended)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(bounds) + 1), out], ["key", "n", "ids"])
 
     return rows.mapInArrow(lean(run), schema).select(F.monotonically_increasing_id().alias("row"), "key", "n", "ids")
 

@@ -155,7 +155,10 @@ def distinct_spans(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
 
     Hashes bring equal spans together; bytes decide.
     """
-    _, first, which = np.unique(span_hashes(body, starts, ends), return_index=True, return_inverse=True)
+    coded = pa.array(span_hashes(body, starts, ends)).dictionary_encode()
+    which = coded.indices.to_numpy().astype(np.int64)
+    first = np.zeros(len(coded.dictionary), np.int64)
+    first[which[::-1]] = np.arange(len(which))[::-1]
     one = first[which]
     sizes = ends - starts
     good = sizes == sizes[one]

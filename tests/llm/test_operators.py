@@ -2,6 +2,7 @@
 
 import hashlib
 import html as entities
+import os
 import random
 import re
 import time
@@ -325,6 +326,33 @@ def test_packing(spark, docs, hard, nothing):
     assert packing.pack(nothing, path).count() == 0
 
 
+def test_words_of_plain_letters_skip_the_normalizer():
+    """Their ids are the whole library's, which reads the other words alone; and it starts no threads."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(5)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole = Tokenizer.from_file(path)
+    plain = [c for c in map(chr, range(0x10000)) if packing._LETTERS(c)]
+    few = [c for c in plain if ord(c) < 0x500]
+    words = plain + ["".join(rng.choices(few if k % 2 else plain, k=rng.randrange(1, 12))) for k in range(3000)]
+    near = [w + c for w in words[-200:] for c in "\u0301\u0308\u3099É÷×'ªА7"] + ["don't", "a1b", "é!", "straßE"]
+    tokenizer, read = packing.WordTokenizer(path), []
+
+    class Library:
+        def encode_batch_fast(self, texts, **how):
+            read.extend(texts)
+            return whole.encode_batch_fast(texts, **how)
+
+    tokenizer.library = Library()
+    for texts in (words, near):
+        ids, at = tokenizer.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+        assert read if texts is near else not read
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
+
+
 def test_least_squares_fills_windows():
     plan = packing.solve(np.array([48, 1000, 1024]), np.array([50, 100, 10]), 2048)
     assert plan.patterns == 5 + 50 and plan.spare_tokens == 0
