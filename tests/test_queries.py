@@ -7,6 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from deltaweave.operators import leapers
 from deltaweave.plans import catalogue
 
 FOLDER = "/root/testdata/sf0.001"
@@ -30,6 +31,19 @@ def test_query(spark, duck, name):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize(("name", "joins"), [("rel_from_leapjoin", 3)])
+def test_query_in_cells(spark, duck, monkeypatch, capsys, name, joins):
+    """As on relations that aren't small: the same rows, and no exchange between the joins of proposed values."""
+    monkeypatch.setattr(leapers, "_SMALL", 0)
+    monkeypatch.setattr(leapers, "_SHARES", 2)
+    capsys.readouterr()
+    catalogue.queries()[name](spark, FOLDER).explain()
+    plan = [line for line in capsys.readouterr().out.splitlines() if "Join" in line or "Exchange" in line]
+    first = next(k for k, line in enumerate(plan) if "Join" in line)
+    assert all("ShuffledHashJoin" in line for line in plan[first : first + joins])
+    test_query(spark, duck, name)
+
+
 def test_whole_tables(spark, tmp_path):
     """Whole tables of more than a few ids, against brute force."""
     spark.range(300).select(F.col("id").alias("p_partkey")).write.parquet(str(tmp_path / "part.parquet"))
