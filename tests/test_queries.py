@@ -31,7 +31,7 @@ def test_query(spark, duck, name):
     assert got == sorted(want)
 
 
-@pytest.mark.parametrize(("name", "joins"), [("rel_from_leapjoin", 3)])
+@pytest.mark.parametrize(("name", "joins"), [("rel_from_leapjoin", 3), ("leap_extend_anti", 2)])
 def test_query_in_cells(spark, duck, monkeypatch, capsys, name, joins):
     """As on relations that aren't small: the same rows, and no exchange between the joins of proposed values."""
     monkeypatch.setattr(leapers, "_SMALL", 0)
