@@ -329,6 +329,32 @@ def test_same_generation_by_classes(spark, monkeypatch, block):
     assert set(programs.same_generation(spark, edges_of(spark, two)).collect()) == generations_of(two)
 
 
+def shuffled(spark, run):
+    """Bytes that the stages of ``run`` shuffle."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def total():
+        sc.listenerBus().waitUntilEmpty()
+        stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    before = total()
+    run()
+    return total() - before
+
+
+def test_pairs_shuffle_in_proportion(spark, monkeypatch):
+    """Twice the members of a class are four times the pairs, but about twice the bytes sent."""
+    monkeypatch.setattr(programs, "_BLOCK", 8)
+    sizes = []
+    for n in (2000, 4000):
+        pairs = programs.same_generation(spark, spark.range(1, n + 1).selectExpr("id as a", "0L as b"))
+        sizes.append(shuffled(spark, lambda: pairs.write.format("noop").mode("overwrite").save()))
+        count, both = pairs.agg(F.count(F.lit(1)), F.sum(F.col("a") * F.col("b"))).first()
+        assert (count, both) == (n * n, (n * (n + 1) // 2) ** 2)
+    assert 0 < sizes[1] < 2.6 * sizes[0]
+
+
 def test_stream_maintenance(spark, tmp_path):
     from deltaweave.streaming.maintain import into
 
